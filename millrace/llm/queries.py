@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import simhash
+import public_tokenizers
+from millrace.llm import bytebpe, simhash, tokencount
 from millrace.llm.shared import read_table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +29,20 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+@_query
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document; the cache starts empty, so that each run encodes every distinct text."""
+    docs = read_table(spark, sf_dir, "documents")
+    return tokencount.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), tokencount.fresh_cache(docs))
+
+
+@_query
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every document and of the bytes that they decode to."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bytebpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
+
+
 @_query
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document; see ``simhash.simhash_components``."""
