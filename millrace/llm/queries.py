@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from millrace.llm import bytebpe, chunkprint, simhash, tokencount, topk
+from millrace.llm import bytebpe, chunkprint, simhash, styletree, tokencount, topk
 from millrace.llm.shared import read_table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,12 @@ def op7_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunkprint.compare_with_edits(read_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return styletree.main_text(read_table(spark, sf_dir, "pages"))
+
+
 @_query
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best inner products of every fiftieth vector over all others."""
