@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import simhash
+from millrace.llm import langid, simhash
 from millrace.llm.shared import read_table, stored
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language cannot be told go; the column ``lang`` is what a document declares."""
+    model = langid.fit(docs)
+    found = langid.identify(docs, model, "text", F.col("lang"), F.col("source"), taken="found_language")
+    return found.where("not found_language.rejected").select(*docs.columns)
+
+
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash near-duplicate group stays."""
     return simhash.keep_one_each(docs)
 
 
-STAGES = [("simhash_dedup", dedup)]
+STAGES = [("language_id", language), ("simhash_dedup", dedup)]
 
 #: The stages use hashes and models that DuckDB's SQL lacks; tests hold them against brute force.
 ORACLE_SQL = None

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from millrace.llm import bytebpe, chunkprint, simhash, styletree, tokencount, topk
+from millrace.llm import bytebpe, chunkprint, langid, simhash, styletree, tokencount, topk
 from millrace.llm.shared import read_table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,18 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
 
 
+@_query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page: its main text, what it declares, its address and its host.
+
+    The model is fitted on at most ``langid.SAMPLE`` labelled rows of ``documents``.
+    """
+    model = langid.fit(read_table(spark, sf_dir, "documents"))
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = langid.identify(pages, model, "html", langid.declared_language("html"), styletree.host_of(F.col("url")), styletree.page_text)
+    return found.select("page_id", "found.*", langid.declared_language("html").alias("declared"))
+
+
 @_query
 def op7_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness."""
