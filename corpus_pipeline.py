@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, simhash
+from millrace.llm import bytebpe, langid, mixing, simhash
 from millrace.llm.shared import read_table, stored
 
 
@@ -21,7 +22,23 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one_each(docs)
 
 
-STAGES = [("language_id", language), ("simhash_dedup", dedup)]
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose tokens stand in the target proportions of source, language and topic."""
+    tokens = mixing.word_count(F.col("text"))
+    mixed = mixing.mix(docs, F.col("source"), F.col("lang"), mixing.form_topic(F.col("text"), tokens), tokens, taken="mixed_as")
+    return mixed.select(*docs.columns)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document; a digest of the decoded bytes shows that nothing is lost."""
+    encoded = bytebpe.encode(docs.select("doc_id", "lang", "source", "text"), VOCABULARY, public_tokenizers.PATTERN)
+    decoded = bytebpe.decode(encoded, VOCABULARY, public_tokenizers.PATTERN)
+    return decoded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("language_id", language), ("simhash_dedup", dedup), ("mixing", mixing_stage), ("byte_bpe", byte_bpe)]
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 #: The stages use hashes and models that DuckDB's SQL lacks; tests hold them against brute force.
 ORACLE_SQL = None

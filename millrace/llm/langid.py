@@ -23,6 +23,8 @@ from millrace.llm.shared import stored
 
 #: Labelled rows that the model is fitted on at most; labels with fewer rows there are left out.
 SAMPLE, LEAST_LABELLED, MOST_LANGUAGES = 4000, 10, 64
+#: Documents of the sample that must hold a trigram for it to be known: one odd document vouches for none.
+LEAST_DOCS = 3
 #: Trigrams that a text's evidence is worth at most: neighbours are not independent.
 WORTH = 60.0
 #: Pseudo-counts that carry a parent's distribution to a child, and a declaration's base rate to a language.
@@ -50,13 +52,13 @@ def _grams(text: str) -> Iterator[np.ndarray]:
 
 
 class Model:
-    """Languages, the log-likelihood of each slot under each, and which slots the sample has."""
+    """Languages, the log-likelihood of each slot under each, and which slots are known."""
 
-    def __init__(self, languages: list[str], counts: np.ndarray) -> None:
+    def __init__(self, languages: list[str], counts: np.ndarray, known: np.ndarray) -> None:
         self.languages = languages
         share = (counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * _SLOTS) if len(languages) else counts.astype(float)
         self.logs = np.round(np.log(share) * _UNIT).astype(np.int32) if len(languages) else counts.astype(np.int32)
-        self.known = counts.sum(0) > 0
+        self.known = known
 
     def score(self, text: str) -> tuple[list[int], int, int]:
         """Log-likelihood under each language, trigrams, and those of them that are known."""
@@ -72,14 +74,17 @@ class Model:
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sums: dict[str, np.ndarray] = {}
+        docs: dict[str, np.ndarray] = {}
         rows: dict[str, int] = {}
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             rows[label] = rows.get(label, 0) + 1
-            for slots in _grams(text):
-                sums[label] = sums.get(label, 0) + np.bincount(slots, minlength=_SLOTS)
+            count = sum([np.bincount(slots, minlength=_SLOTS) for slots in _grams(text)], np.zeros(_SLOTS, np.int64))
+            sums[label] = sums.get(label, 0) + count
+            docs[label] = docs.get(label, 0) + (count > 0)
         for label, c in sums.items():
             at = np.flatnonzero(c)
-            yield pa.record_batch([pa.array([label] * (len(at) + 1)), pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(c[at], rows[label]), pa.int64())], ["label", "slot", "n"])
+            columns = [np.append(at, -1), np.append(c[at], rows[label]), np.append(docs[label][at], rows[label])]
+            yield pa.record_batch([pa.array([label] * (len(at) + 1)), *[pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int64(), pa.int64()))]], ["label", "slot", "n", "docs"])
 
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE) -> Model:
@@ -91,18 +96,19 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", sa
     rows = rows.withColumn("mark", F.xxhash64("text"))
     last = rows.select("mark").orderBy("mark").limit(sample).agg(F.max("mark")).first()[0]
     if last is None:
-        return Model([], np.zeros((0, _SLOTS)))
-    counted = rows.where(F.col("mark") <= last).select("label", "text").mapInArrow(_count_grams, "label string, slot int, n long")
-    found = counted.groupBy("label", "slot").agg(F.sum("n").alias("n")).toArrow().to_pylist()
+        return Model([], np.zeros((0, _SLOTS)), np.zeros(_SLOTS, bool))
+    counted = rows.where(F.col("mark") <= last).select("label", "text").mapInArrow(_count_grams, "label string, slot int, n long, docs long")
+    found = counted.groupBy("label", "slot").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).toArrow().to_pylist()
     size = {r["label"]: r["n"] for r in found if r["slot"] < 0}
     languages = sorted(sorted(size, key=lambda x: (-size[x], x))[:MOST_LANGUAGES])
     languages = [x for x in languages if size[x] >= LEAST_LABELLED] or languages
-    counts = np.zeros((len(languages), _SLOTS))
+    counts, docs = np.zeros((len(languages), _SLOTS)), np.zeros(_SLOTS, np.int64)
     place = {x: i for i, x in enumerate(languages)}
     for r in found:
         if r["slot"] >= 0 and r["label"] in place:
             counts[place[r["label"]], r["slot"]] = r["n"]
-    return Model(languages, counts)
+            docs[r["slot"]] += r["docs"]
+    return Model(languages, counts, docs >= LEAST_DOCS)
 
 
 def _scorer(model: Broadcast, text_of: Callable[[str], str] | None):
