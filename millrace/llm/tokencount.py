@@ -81,7 +81,7 @@ def count_tokens(
     texts = texts.withColumn("digest", content_digest("text"))
     keyed = stored(texts.select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
     # One row stands for each missing content. It is found by (digest, id), which spreads the copies of a hot content.
-    wanted = keyed.join(_cached(docs, path), "digest", "left_anti").groupBy("digest").agg(F.min("id").alias("id"))
+    wanted = keyed.groupBy("digest").agg(F.min("id").alias("id")).join(_cached(docs, path), "digest", "left_anti")
     same = (F.col("t.digest") == F.col("w.digest")) & F.col("t.id").eqNullSafe(F.col("w.id"))
     misses = texts.alias("t").join(wanted.alias("w"), same, "left_semi").select("digest", "text")
     counted = misses.mapInArrow(_counter(spark.sparkContext.broadcast(model), version), _CACHE_SCHEMA)
