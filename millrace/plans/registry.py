@@ -1 +1,3 @@
 """Imports every module that registers queries."""
+
+from millrace.plans import corpus, dialogues, scores  # noqa: F401
