@@ -31,9 +31,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document; a digest of the decoded bytes shows that nothing is lost."""
-    encoded = bytebpe.encode(docs.select("doc_id", "lang", "source", "text"), VOCABULARY, public_tokenizers.PATTERN)
-    decoded = bytebpe.decode(encoded, VOCABULARY, public_tokenizers.PATTERN)
-    return decoded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bytebpe.encode(docs.select("doc_id", "lang", "source", "text"), VOCABULARY, public_tokenizers.PATTERN, digests=True)
 
 
 STAGES = [("language_id", language), ("simhash_dedup", dedup), ("mixing", mixing_stage), ("byte_bpe", byte_bpe)]

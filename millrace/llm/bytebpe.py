@@ -267,18 +267,18 @@ def _read(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", digests: bool = False) -> DataFrame:
-    """Every row of ``docs`` with ``ids`` (array of int) and ``n_tokens`` of its whole text, after its own columns.
+def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", ids: bool = True, digests: bool = False) -> DataFrame:
+    """Every row of ``docs`` with ``n_tokens`` and ``ids`` (array of int) of its whole text, after its own columns.
 
     Null text counts as empty and has no ids. Special tokens are unknown: their strings are ordinary text.
-    With ``digests`` the ids are also decoded, and instead of them come ``ids_sha256`` (of the ids as
-    little-endian unsigned 32-bit integers) and ``decoded_sha256`` (of the decoded bytes). Columns of
-    ``docs`` with these names are kept under the name with ``_in`` at the end. The vocabulary file is
+    With ``digests`` the ids are also decoded, and ``ids_sha256`` (of the ids as little-endian unsigned 32-bit
+    integers) and ``decoded_sha256`` (of the decoded bytes) follow; the text's own column then goes. Columns
+    of ``docs`` with these names are kept under the name with ``_in`` at the end. The vocabulary file is
     broadcast; its size is fixed (under 1 MB here).
     """
     shared = docs.sparkSession.sparkContext.broadcast(_read(vocabulary))
-    made = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids"]
-    kinds = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "n_tokens long, ids array<int>"
+    kinds = "n_tokens long" + ", ids array<int>" * ids + ", ids_sha256 string, decoded_sha256 string" * digests
+    made = [c.split()[0] for c in kinds.split(", ")]
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     given = plain.withColumn("body", F.coalesce(F.col(f"c{docs.columns.index(text_col)}").cast("string"), F.lit("")))
     if digests:  # the text itself is not sent back
@@ -291,13 +291,15 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text
         for batch in batches:
             for a, b in _slices(batch.column(len(own))):
                 part = batch.slice(a, b - a)
-                ids = tool.encode(part.column(len(own)).to_pylist())
-                counts = pa.array([len(x) for x in ids], pa.int64())
+                found = tool.encode(part.column(len(own)).to_pylist())
+                sizes = [len(x) for x in found]
+                new = [pa.array(sizes, pa.int64())]
+                if ids:
+                    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                    new.append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found), pa.int32())))
                 if digests:
-                    new = [counts, pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]), pa.array([hashlib.sha256(x).hexdigest() for x in tool.decode(ids)])]
-                else:
-                    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                    new = [counts, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids), pa.int32()))]
+                    new.append(pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in found]))
+                    new.append(pa.array([hashlib.sha256(x).hexdigest() for x in tool.decode(found)]))
                 yield pa.record_batch(part.columns[:-1] + new, own + made)
 
     out = given.mapInArrow(run, schema)
