@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bytebpe, langid, mixing, simhash
-from millrace.llm.shared import read_table, stored
+from millrace.llm.shared import read_table, small_batches, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language cannot be told go; the column ``lang`` is what a document declares."""
+    small_batches(spark)
     model = langid.fit(docs)
     found = langid.identify(docs, model, "text", F.col("lang"), F.col("source"), taken="found_language")
     return found.where("not found_language.rejected").select(*docs.columns)
@@ -19,6 +20,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash near-duplicate group stays."""
+    small_batches(spark)
     return simhash.keep_one_each(docs)
 
 
@@ -31,6 +33,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document; a digest of the decoded bytes shows that nothing is lost."""
+    small_batches(spark)
     return bytebpe.encode(docs.select("doc_id", "lang", "source", "text"), VOCABULARY, public_tokenizers.PATTERN, digests=True)
 
 

@@ -32,8 +32,8 @@ _SPACES = frozenset(c for a, b in ((9, 13), (0x2000, 0x200A)) for c in map(chr,
 _WORDS, _BYTES = 20_000, 400_000  # words and bytes of one recursive query
 _LONG = 256  # bytes; longer words contract all equal pairs of a round at once
 _DEPTH = 48  # rounds of one recursive query; what is not done goes into the next
-_REMEMBER = 600_000  # runs that a worker keeps
-_DECODE = 1_000_000  # tokens of one decoding query
+_REMEMBER = 300_000  # runs that a worker keeps
+_DECODE = 200_000  # tokens of one decoding query
 
 # A row's key is word << 32 | position. k orders a word's pairs by rank, then position.
 _LEFTMOST = f"""

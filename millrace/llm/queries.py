@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import public_tokenizers
 from millrace.llm import bytebpe, chunkprint, langid, mixing, perspective, shards, simhash, styletree, tokencount, topk
-from millrace.llm.shared import read_table, scratch_path
+from millrace.llm.shared import read_table, scratch_path, small_batches
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
 def _query(f):
-    _QUERIES[f.__name__] = f
+    _QUERIES[f.__name__] = lambda spark, sf_dir: f(small_batches(spark), sf_dir)
     return f
 
 

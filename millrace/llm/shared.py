@@ -56,3 +56,9 @@ def new_name(df: DataFrame, base: str, *others: DataFrame) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small_batches(spark: SparkSession, rows: int = 512) -> SparkSession:
+    """Have Spark send at most so many rows at once to Python: texts are long, and a worker holds whole batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return spark
