@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from millrace.llm.components import connected_components
 from millrace.llm.shared import stored
+from millrace.operators.components import components
 
 SEED = 42
 SHINGLE = 3
@@ -208,7 +208,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, radius: int) -> Dat
     id_type = source.schema["id"].dataType.simpleString()
     marks = stored(source.mapInArrow(_fingerprints, f"id {id_type}, fp long"), "simhash")
     distinct = stored(marks.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
-    roots = connected_components(links(distinct, radius))
+    roots = components(links(distinct, radius))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.select("fp", "root").join(groups, "root").select("fp", "root", "component_id")

@@ -86,10 +86,10 @@ def test_large_buckets_are_split_without_loss(spark):
         fps.add(x)
     signed = [(x - (1 << 64) if x >> 63 else x,) for x in fps]
     df = spark.createDataFrame(signed, "fp long")
-    from millrace.llm.components import connected_components
+    from millrace.operators.components import components
 
     def parts(**k):
-        return sorted((r.node, r.root) for r in connected_components(simhash.links(df, 2, **k)).collect())
+        return sorted((r.node, r.root) for r in components(simhash.links(df, 2, **k)).collect())
 
     assert parts() == parts(tree_rows=16, slice_rows=25)
     lab = {x: x for (x,) in signed}
