@@ -14,13 +14,12 @@ def best_draw(groups: DataFrame, group: str, stratum: str, n: int, draws: int, s
     Every draw is a hash order; all draws are ranked and scored at once, then one is kept (ties: the first). A draw's
     rank needs only groups among its ``n`` least hashes, so the join stays at draws x n rows after the cut.
     """
-    spark = groups.sparkSession
     whole = groups.groupBy(stratum).agg(F.count("*").alias("c")).withColumn("share", F.col("c") / F.sum("c").over(Window.partitionBy()))  # one row for each stratum
-    tries = spark.range(draws).select(F.col("id").alias("draw"))
-    named = groups.select(group, stratum).crossJoin(F.broadcast(tries))  # a bounded number of draws
+    tries = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
+    named = groups.select(group, stratum, tries)
     order = Window.partitionBy("draw").orderBy(F.sha1(F.concat_ws("|", F.lit(str(seed)), "draw", group).cast("binary")), group)
     taken = named.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= n)
-    cells = tries.crossJoin(F.broadcast(whole.select(stratum, "share")))
+    cells = whole.select(stratum, "share", tries)
     counts = taken.groupBy("draw", stratum).agg(F.count("*").alias("k"))
     gap = cells.join(counts, ["draw", stratum], "left").groupBy("draw").agg(F.sum(F.abs(F.coalesce("k", F.lit(0)) / n - F.col("share"))).alias("gap"))
     best = gap.orderBy("gap", "draw").limit(1).select("draw")

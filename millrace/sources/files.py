@@ -11,23 +11,43 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from millrace.functions import text as X
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+def _ends_with(spark: SparkSession, path: str, line: str) -> bool:
+    """Whether a file's last bytes are this line without a line end. Only those bytes are read."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    want = line.encode()
+    size = fs.getFileStatus(p).getLen()
+    if size < len(want):
+        return False
+    stream = fs.open(p)
+    try:
+        stream.seek(size - len(want))
+        return bytes(stream.readNBytes(len(want))) == want
+    finally:
+        stream.close()
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: StructType | str, most_cut: int = 1000) -> DataFrame:
     """Records of line-JSON files under a fixed schema; a cut last line of a file is left out, any other bad line ends the job.
 
-    A bad line is the last if nothing follows it, which the readers of text lines tell by its missing line end.
+    A first pass finds the bad lines. There may be one for each file that a writer left unfinished, at most ``most_cut``
+    in all; the driver holds them against the last bytes of their files.
     """
     kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    rows = spark.read.schema(kind.add("_bad", "string")).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path).withColumn("_file", F.input_file_name())
-    tails = spark.read.format("binaryFile").load(path).select(F.col("path").alias("_path"), F.element_at(F.split(F.decode("content", "utf-8"), "\n"), -1).alias("_tail"))
-    cut = tails.where("_tail <> ''").select("_tail").distinct()
-    bad = rows.where("_bad IS NOT NULL").join(cut, F.col("_bad") == F.col("_tail"), "left")
-    allowed = bad.where(F.when(F.col("_tail").isNull(), F.raise_error(F.concat(F.lit("a bad line: "), F.substring("_bad", 1, 80))).cast("boolean")).otherwise(F.lit(False)))
-    return rows.where("_bad IS NULL").drop("_bad", "_file").unionByName(allowed.drop("_bad", "_tail", "_file"))
+    columns = kind.fieldNames()
+    reader = spark.read.schema(StructType([*kind.fields, StructField("_bad", StringType())])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
+    rows = reader.json(path)
+    bad = rows.withColumn("_file", F.input_file_name()).where("_bad IS NOT NULL").limit(most_cut + 1).collect()
+    per_file = [r["_file"] for r in bad]
+    for r in bad:
+        if len(bad) > most_cut or per_file.count(r["_file"]) > 1 or not _ends_with(spark, r["_file"], r["_bad"]):
+            raise ValueError(f"a bad line in {r['_file']}: {r['_bad'][:80]}")
+    return rows.where("_bad IS NULL").select(*columns)
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
