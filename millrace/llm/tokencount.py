@@ -86,7 +86,8 @@ def count_tokens(
     misses = texts.alias("t").join(wanted.alias("w"), same, "left_semi").select("digest", "text")
     counted = misses.mapInArrow(_counter(spark.sparkContext.broadcast(model), version), _CACHE_SCHEMA)
     counted.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).write.mode("append").parquet(path)
-    known = _cached(docs, path).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Stored, so that both sides of the join are plain exchanges and Spark can split the rows of a hot content.
+    known = stored(_cached(docs, path).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     return keyed.join(known, "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
