@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bytebpe, langid, mixing, simhash
+from millrace.llm import bytebpe, langid, mixing, neardup
 from millrace.llm.shared import read_table, small_batches, stored
 
 
@@ -19,9 +19,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash near-duplicate group stays."""
+    """One document of each near-duplicate group stays: SimHash candidates, exact Jaccard of five-word shingles."""
     small_batches(spark)
-    return simhash.keep_one_each(docs)
+    return neardup.keep_one_each(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -185,7 +185,11 @@ def links(distinct: DataFrame, radius: int = RADIUS, tree_rows: int = TREE_ROWS,
         F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1)).alias("value"))
         for i, (shift, width) in enumerate(blocks(radius))
     ]
-    keyed = distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.block", "k.value")
+    return linked(distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.block", "k.value"), radius, tree_rows, slice_rows)
+
+
+def linked(keyed: DataFrame, radius: int, tree_rows: int = TREE_ROWS, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Links (u, v) that connect all within the radius in a bucket; ``keyed`` has distinct (fp, block, value)."""
     sizes = keyed.groupBy("block", "value").agg(F.count("*").alias("n")).where("n > 1")
     trees = F.ceil(F.col("n") / tree_rows).cast("int")
     slices = F.ceil(F.col("n") / slice_rows).cast("int")
@@ -241,7 +245,12 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     All columns stay. Of rows that repeat that id one stays for each group. A group whose ids are all
     null keeps one of its rows.
     """
-    per = _components(docs, id_col, text_col, radius).groupBy("id", "root").agg(F.min("fp").alias("fp"), F.min("component_id").alias("least"))
+    return heads_only(docs, _components(docs, id_col, text_col, radius), _fp_of, id_col, text_col)
+
+
+def heads_only(docs: DataFrame, parts: DataFrame, mark_of, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that lead the components ``parts`` (id, fp, root, component_id); ``mark_of`` gives a text's fp."""
+    per = parts.groupBy("id", "root").agg(F.min("fp").alias("fp"), F.min("component_id").alias("least"))
     per = stored(per, "simhash-heads")
     heads = per.where("id <=> least")
     ids = per.groupBy("id").agg(F.count("*").alias("groups"), F.max(F.col("id").eqNullSafe(F.col("least"))).alias("leads")).where("leads")
@@ -251,7 +260,7 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     one = plain.join(usual, F.col(at) == F.col("id"), "left_semi").dropDuplicates([at])
     # Ids that are null or have rows in several groups: the fingerprint tells their rows apart.
     odd = ids.where("groups > 1 or id is null").select("id")
-    rows = plain.join(odd, F.col(at).eqNullSafe(F.col("id")), "left_semi").withColumn("fp", _fp_of(F.col(text).cast("binary")))
+    rows = plain.join(odd, F.col(at).eqNullSafe(F.col("id")), "left_semi").withColumn("fp", mark_of(F.col(text).cast("binary")))
     named = heads.select(F.col("id").alias("head"), F.col("root"), "fp")
     more = rows.join(named, (F.col(at).eqNullSafe(F.col("head"))) & (rows["fp"] == named["fp"]), "left_semi").dropDuplicates([at, "fp"]).drop("fp")
     return one.unionByName(more).toDF(*docs.columns)
