@@ -113,6 +113,26 @@ def w3_merged_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.merge_fragments(t, "conv_id", "turn", "role", "said")
 
 
+@query("w3_whole_fragments", f"""
+WITH c AS (SELECT conv_id, turn * 4 + k AS turn, CASE WHEN turn % 4 < 3 THEN 'a' ELSE 'b' END AS role, CASE WHEN turn % 3 = 0 THEN text || ' (laughs) so' ELSE text END AS said
+  FROM conversations, (VALUES (0), (1), (2)) v(k) WHERE k = 0 OR turn % 5 = 0),
+n AS (SELECT *, trim(regexp_replace(regexp_replace(said, '[\\[(][^\\])]{{1,40}}[\\])]', ' ', 'g'), '\\s+', ' ', 'g')) AS s FROM c),
+m AS (SELECT *, CASE WHEN role IS NOT DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 0 ELSE 1 END AS fresh FROM n WHERE s <> ''),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS t FROM m),
+r AS (SELECT *, CASE WHEN s IS NOT DISTINCT FROM lag(s) OVER (PARTITION BY conv_id, t ORDER BY turn) THEN 0 ELSE 1 END AS other FROM g),
+k AS (SELECT *, sum(other) OVER (PARTITION BY conv_id, t ORDER BY turn ROWS UNBOUNDED PRECEDING) AS run FROM r),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, t, run ORDER BY turn) AS copy FROM k)
+SELECT conv_id, t AS turn, role, string_agg(s, ' ' ORDER BY f.turn) AS said FROM f WHERE copy = 1 OR (copy = 2 AND {words_sql('s')} < 4) GROUP BY conv_id, t, role""")
+def w3_whole_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As w3_merged_fragments, over whole texts: each third turn has a bracketed note added and each fifth is said three times."""
+    copies = F.when(F.col("turn") % 5 == 0, F.array(*map(F.lit, range(3)))).otherwise(F.array(F.lit(0)))
+    t = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.explode(copies).alias("k"), F.when(F.col("turn") % 4 < 3, "a").otherwise("b").alias("role"),
+        F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit(" (laughs) so"))).otherwise(F.col("text")).alias("said"),
+    )
+    return turns.merge_fragments(t.withColumn("turn", F.col("turn") * 4 + F.col("k")).drop("k"), "conv_id", "turn", "role", "said")
+
+
 @query("w1_question_subset", """
 SELECT conv_id, turn FROM conversations
 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY sha1('7|' || conv_id || '|' || turn), turn) <= 3""")
