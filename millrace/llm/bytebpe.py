@@ -3,8 +3,9 @@
 Spark deals out the documents. In each task the distinct words of a batch become token-position rows;
 a recursive query joins adjacent tokens to the merge table and contracts each word's leftmost pair of
 least rank, until no pair is left. Words are cut by the pattern first and never merge across their ends,
-so a document's ids are those of its words in order. What a worker has encoded it remembers up to a fixed
-number of words.
+so a document's ids are those of its words in order. A long word goes through the same query in pieces, and the
+seams between them again until they hold (``Codec._joined``). What a worker has encoded it remembers up to
+a fixed number of words.
 """
 
 from __future__ import annotations
@@ -29,9 +30,9 @@ _RUN = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
 _SPACES = frozenset(c for a, b in ((9, 13), (0x2000, 0x200A)) for c in map(chr, range(a, b + 1))) | frozenset(" \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000")
 
-_WORDS, _BYTES = 20_000, 400_000  # words and bytes of one recursive query
-_LONG = 256  # bytes; longer words contract all equal pairs of a round at once
-_DEPTH = 48  # rounds of one recursive query; what is not done goes into the next
+_WORDS, _ROWS = 20_000, 3_000_000  # words of one recursive query, and rows that all its rounds may keep
+_PIECE, _SEAM = 64, 32  # bytes of a long word's pieces, and bytes at either side of a seam that are contracted anew
+_DEPTH = 64  # rounds of one recursive query; what is not done goes into the next
 _REMEMBER = 300_000  # runs that a worker keeps
 _DECODE = 200_000  # tokens of one decoding query
 
@@ -47,45 +48,13 @@ WITH RECURSIVE s AS (
              arg_min(a.next_g, (m.made::BIGINT << 32) | (a.g & 4294967295)) AS gone
       FROM (SELECT g, tok, lead(tok) OVER (ORDER BY g) AS next_tok, lead(g) OVER (ORDER BY g) AS next_g FROM s) a
       JOIN merges m ON m.l = a.tok AND m.r = a.next_tok AND a.next_g >> 32 = a.g >> 32
-      GROUP BY ALL HAVING true)
+      GROUP BY a.g >> 32)
   ) b ON p.g >> 32 = b.w
   WHERE p.g <> b.gone AND p.round < {_DEPTH}
 )
-SELECT g, tok, round FROM s QUALIFY round = max(round) OVER (PARTITION BY g >> 32) ORDER BY g
+SELECT s.g, s.tok, s.round FROM s JOIN (SELECT g >> 32 AS w, max(round) AS top FROM s GROUP BY g >> 32) t
+ON s.g >> 32 = t.w AND s.round = t.top ORDER BY s.g
 """
-_LEFTMOST = _LEFTMOST.replace("GROUP BY ALL HAVING true", "GROUP BY a.g >> 32")
-
-# The same for long words: a round contracts every pair of the least rank, left to right. Only pairs of
-# two equal tokens can overlap; of a chain of those every other one counts.
-_EVERY = f"""
-WITH RECURSIVE s AS (
-  SELECT g, tok, 0 AS round FROM init
-  UNION ALL
-  SELECT g, CASE WHEN hit THEN made ELSE tok END, round + 1 FROM (
-    SELECT p.g, p.tok, p.round, h.g IS NOT NULL AS hit, h.made, d.g IS NOT NULL AS gone
-    FROM s p
-    JOIN (SELECT DISTINCT a.g >> 32 AS w FROM (SELECT g, tok, lead(tok) OVER (ORDER BY g) AS next_tok, lead(g) OVER (ORDER BY g) AS next_g FROM s) a
-          JOIN merges m ON m.l = a.tok AND m.r = a.next_tok AND a.next_g >> 32 = a.g >> 32) live ON live.w = p.g >> 32
-    LEFT JOIN (HITS) h ON h.g = p.g
-    LEFT JOIN (HITS) d ON d.next_g = p.g
-  ) WHERE NOT gone AND round < {_DEPTH}
-)
-SELECT g, tok, round FROM s QUALIFY round = max(round) OVER (PARTITION BY g >> 32) ORDER BY g
-"""
-_HITS = """
-SELECT g, next_g, made FROM (
-  SELECT *, row_number() OVER (PARTITION BY chain ORDER BY g) AS n FROM (
-    SELECT *, sum(CASE WHEN g = before THEN 0 ELSE 1 END) OVER (ORDER BY g) AS chain FROM (
-      SELECT *, lag(next_g) OVER (ORDER BY g) AS before FROM (
-        SELECT a.g, a.next_g, m.made, min(m.made) OVER (PARTITION BY a.g >> 32) AS least
-        FROM (SELECT g, tok, lead(tok) OVER (ORDER BY g) AS next_tok, lead(g) OVER (ORDER BY g) AS next_g FROM s) a
-        JOIN merges m ON m.l = a.tok AND m.r = a.next_tok AND a.next_g >> 32 = a.g >> 32
-      ) WHERE made = least
-    )
-  )
-) WHERE n % 2 = 1
-"""
-_EVERY = _EVERY.replace("HITS", _HITS)
 
 _JOIN = "SELECT doc, string_agg(piece, '' ORDER BY spot) AS body FROM ids JOIN pieces USING (tok) GROUP BY doc ORDER BY doc"
 
@@ -128,6 +97,7 @@ class Codec:
             raise ValueError("the vocabulary lacks single bytes")
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         self._table("merges", l=pa.array(left, pa.int32()), r=pa.array(right, pa.int32()), made=pa.array(made, pa.int32()))
+        self.bytes_of = {rank: token for token, rank in ranks.items()}
         # One character for each byte, as DuckDB's strings must be valid UTF-8.
         self._table("pieces", tok=pa.array(list(ranks.values()), pa.int32()), piece=pa.array([t.decode("latin-1") for t in ranks]))
         self.forget()
@@ -141,15 +111,15 @@ class Codec:
         self.runs = _Numbers()
         self.starts, self.sizes, self.tokens = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def _contract(self, words: list[bytes], first: int, sql: str) -> tuple[np.ndarray, np.ndarray]:
-        """Keys (number of the word from ``first`` << 32 | position) and tokens that are left of the words."""
+    def _contract(self, words: list[bytes], numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys (number of the word << 32 | position) and tokens that are left of the words."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         tok = self.byte[np.frombuffer(b"".join(words), np.uint8)]
-        g = np.repeat(np.arange(first, first + len(words)) << 32, sizes) + np.arange(len(tok)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        g = np.repeat(numbers << 32, sizes) + np.arange(len(tok)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         keys, tokens = [g[:0]], [tok[:0]]
         while len(g):
             self.db.register("init", pa.table({"g": pa.array(g, pa.int64()), "tok": pa.array(tok, pa.int32())}))
-            out = self.db.sql(sql).to_arrow_table()
+            out = self.db.sql(_LEFTMOST).to_arrow_table()
             self.db.unregister("init")
             g, tok, rounds = (out[c].to_numpy() for c in ("g", "tok", "round"))
             done = rounds < _DEPTH
@@ -158,20 +128,95 @@ class Codec:
             g, tok = g[~done], tok[~done]
         return np.concatenate(keys), np.concatenate(tokens)
 
-    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """How many ids each word has, and the ids of all words in a row."""
-        parts, at = [], 0
+    def _contracted(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and the ids of all words in a row.
+
+        Words of a length go together: a query has as many rounds as its longest word contractions, and keeps a
+        row for each byte that is left in each round.
+        """
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        by_size = np.argsort(sizes, kind="stable")
+        rows = np.cumsum(sizes[by_size] * np.minimum(sizes[by_size], 2 * _DEPTH) // 2)
+        parts, at = [(np.zeros(0, np.int64), np.zeros(0, np.int32))], int(np.searchsorted(sizes[by_size], 1))
         while at < len(words):
-            long, to, size = len(words[at]) > _LONG, at, 0
-            while to < len(words) and to - at < _WORDS and (len(words[to]) > _LONG) == long and (to == at or size + len(words[to]) <= _BYTES):
-                size += len(words[to])
-                to += 1
-            parts.append(self._contract(words[at:to], at, _EVERY if long else _LEFTMOST))
+            to = min(at + _WORDS, max(at + 1, int(np.searchsorted(rows, (rows[at - 1] if at else 0) + _ROWS))))
+            numbers = np.sort(by_size[at:to])
+            parts.append(self._contract([words[i] for i in numbers.tolist()], numbers))
             at = to
         g, tok = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(g, kind="stable")
         return np.bincount(g >> 32, minlength=len(words)), tok[order]
 
+    def _joined(self, words: list[bytes]) -> list[np.ndarray]:
+        """The ids of long words: their pieces are contracted alone, then what stands around each seam that does not hold.
+
+        A seam holds if its two tokens, joined, contract to themselves. If all of a word's do, no contraction of
+        the whole word crosses one: up to the first that did, either side would have gone through the same
+        contractions as alone, and so would the two tokens.
+        """
+        known: dict[bytes, list[int]] = {}
+
+        def solve(parts: list[bytes]) -> None:
+            new = [p for p in dict.fromkeys(parts) if p not in known]
+            sizes, flat = self._contracted(new)
+            known.update(zip(new, [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] if new else []))
+
+        cut = [[w[i : i + _PIECE] for i in range(0, len(w), _PIECE)] for w in words]
+        solve([p for pieces in cut for p in pieces])
+        rows: list[list[int]] = []  # tokens of each word
+        doubtful: list[list[int]] = []  # and the tokens whose left seam has not been looked at
+        for pieces in cut:
+            got = [known[p] for p in pieces]
+            rows.append([t for ids in got for t in ids])
+            doubtful.append(np.cumsum([len(ids) for ids in got])[:-1].tolist())
+        times = 0
+        while any(doubtful):
+            pair = lambda row, i: self.bytes_of[row[i - 1]] + self.bytes_of[row[i]]
+            solve([pair(row, i) for row, spots in zip(rows, doubtful) for i in spots])
+            reach = _SEAM * (1 + times // 8)  # grows, so that the rounds come to an end
+            windows: list[list[tuple[int, int, bytes]]] = []
+            for row, spots in zip(rows, doubtful):
+                open_, end = [], 0
+                for i in spots:
+                    if i <= end or known[pair(row, i)] == row[i - 1 : i + 1]:
+                        continue  # in a window of this round, or it holds
+                    a = b = i
+                    size = 0
+                    while a > end and size < reach:
+                        a -= 1
+                        size += len(self.bytes_of[row[a]])
+                    size = 0
+                    while b < len(row) and size < reach:
+                        size += len(self.bytes_of[row[b]])
+                        b += 1
+                    open_.append((a, b, b"".join([self.bytes_of[t] for t in row[a:b]])))
+                    end = b
+                windows.append(open_)
+            solve([w[2] for open_ in windows for w in open_])
+            for n, open_ in enumerate(windows):
+                row, made, spots, at = rows[n], [], [], 0
+                for a, b, text in open_:
+                    made += row[at:a]
+                    spots.append(len(made))
+                    made += known[text]
+                    spots.append(len(made))
+                    at = b
+                rows[n] = made + row[at:]
+                doubtful[n] = sorted({i for i in spots if 0 < i < len(rows[n])})
+            times += 1
+        return [np.array(row, np.int32) for row in rows]
+
+    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and the ids of all words in a row."""
+        long = [i for i, w in enumerate(words) if len(w) > _PIECE]
+        sizes, flat = self._contracted([w if len(w) <= _PIECE else b"" for w in words])
+        if not long:
+            return sizes, flat
+        each = np.split(flat, np.cumsum(sizes)[:-1])
+        for i, ids in zip(long, self._joined([words[i] for i in long])):
+            each[i] = ids
+        return np.fromiter(map(len, each), np.int64, len(each)), np.concatenate(each)
+
     def _learn(self, runs: list[str]) -> None:
         """Encode runs that are new, each as the words that the pattern finds in it."""
         # Runs from white space to other characters can be searched in a row; the rest would join their neighbours.

@@ -81,6 +81,17 @@ def test_long_words_and_forgetting(monkeypatch):
         assert [x.tolist() for x in tool.encode(texts)] == [enc.encode_ordinary(t) for t in texts]
 
 
+def test_words_of_any_length():
+    """Seams between the pieces of long words: random, periodic, unspaced and mixed with short words."""
+    enc = _tiktoken()
+    rng = random.Random(4)
+    tool = bytebpe.Codec(bytebpe.read_ranks(open(RANKS, "rb").read()), public_tokenizers.PATTERN)
+    letters = lambda n, abc="abcdefghijklmnopqrstuvwxyz": "".join(rng.choice(abc) for _ in range(n))
+    texts = [letters(100_000), " ".join(letters(rng.choice([5, 40, 300, 700])) for _ in range(1000)), "abc" * 9000, "tions" * 5001, "=-" * 9001, letters(20_000, ["the", "ation", "xq"])]
+    texts += ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(5000)), *[letters(n, "aab") for n in range(55, 200)], *[letters(n, "ab") for n in (63, 64, 65, 127, 128, 129)]]
+    assert [x.tolist() for x in tool.encode(texts)] == [enc.encode_ordinary(t) for t in texts]
+
+
 def test_ids_outside_the_vocabulary_end_the_job(spark):
     df = spark.createDataFrame([([60_000],)], "ids array<int>")
     with pytest.raises(Exception, match="not in the vocabulary"):
