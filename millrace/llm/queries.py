@@ -84,12 +84,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     low, high = (0, 0) if low is None else (low, high)
-    spot = F.coalesce(F.col("doc_id"), F.lit(low)) - low
-    arrival = F.floor(spot * ARRIVALS / (high - low + 1))
+    edges = [low + -(-i * (high - low + 1) // ARRIVALS) for i in range(ARRIVALS + 1)]
     key = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
     store = shards.ShardStore(spark, scratch_path(spark, "shards"))
     for i in range(ARRIVALS):
-        store.append(docs.where(arrival == i), key, label=f"a{i}")
+        arrived = F.col("doc_id").between(edges[i], edges[i + 1] - 1)  # the scan can skip row groups
+        store.append(docs.where(arrived if i else arrived | F.col("doc_id").isNull()), key, label=f"a{i}")
         if i % 2:
             store.compact(label=f"m{i // 2}")
             store.vacuum()
@@ -99,7 +99,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _merge_sql(name: str, given: str, label: str) -> str:
     return f"""
 {name}_runs AS (SELECT shard, sum(n_bytes)::BIGINT AS b FROM {given} GROUP BY shard),
-{name}_tiers AS (SELECT *, (length(bin(b)) + 1) // 2 AS tier FROM {name}_runs WHERE b < {shards.TARGET}),
+{name}_tiers AS (SELECT *, (length(bin(b)) + 1) // 2 AS tier FROM {name}_runs WHERE b < {shards.TARGET * shards.NEAR}),
 {name}_groups AS (SELECT *, floor((sum(b) OVER (PARTITION BY tier ORDER BY shard ROWS UNBOUNDED PRECEDING) - b)::BIGINT // {shards.TARGET})::BIGINT AS grp FROM {name}_tiers),
 {name}_plan AS (SELECT shard, '{label}-t' || lpad(tier::VARCHAR, 2, '0') || 'g' || lpad(grp::VARCHAR, 8, '0') AS merged
   FROM {name}_groups QUALIFY count(*) OVER (PARTITION BY tier, grp) >= {shards.FAN_IN}),

@@ -1,9 +1,11 @@
 """A store of immutable shards with size-tiered compaction and a versioned manifest.
 
 Arrivals are written as small shards. A compaction merges runs of similar size into files near the
-target size. Either ends by committing a new manifest: it is written aside and renamed to the next version's
-name, which fails if that name exists, so readers see the old version or the new one and of two writers
-one loses. Shards are never changed; those that no manifest needs are removed afterwards.
+target size, and leaves alone what is near it already. Either ends by committing a new manifest: it is written
+aside and renamed to the next version's name, which fails if that name exists, so readers see the old version
+or the new one and of two writers one loses. That holds where a rename is atomic (HDFS, local disks, stores with
+hierarchical names); on a plain object store commits need a lock or a conditional put around ``commit``.
+Shards are never changed; those that no manifest needs are removed afterwards.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from millrace.llm.shared import file_system
 
 #: Bytes of text of a small shard and of a target-sized one, and the fewest runs that a merge takes.
 SMALL, TARGET, FAN_IN = 16 << 20, 128 << 20, 2
+#: A shard of this share of the target is not merged again: rewriting it would gain next to nothing.
+NEAR = 0.75
 #: Manifests up to this many rows are broadcast to the rows of their shards; larger ones join by shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -76,7 +80,8 @@ class ShardStore:
 
     def _measured(self, run: str, version: int) -> DataFrame:
         rows = self.spark.read.option("basePath", f"{self.root}/data").parquet(f"{self.root}/data/millrace_run={run}")
-        return rows.groupBy(F.col("millrace_run").alias("run"), F.col("millrace_shard").alias("shard")).agg(F.count("*").alias("n_docs"), F.sum(self._bytes()).alias("n_bytes")).select("run", "shard", "n_docs", "n_bytes", F.lit(version).alias("version"))
+        rows = rows.select(F.lit(run).alias("run"), F.col("millrace_shard").alias("shard"), "millrace_bytes")  # no text is read
+        return rows.groupBy("run", "shard").agg(F.count("*").alias("n_docs"), F.sum("millrace_bytes").alias("n_bytes")).withColumn("version", F.lit(version))
 
     def append(self, rows: DataFrame, key: Column | None = None, label: str | None = None) -> int:
         """Add an arrival as small shards, without a shuffle of its rows, and commit; returns the version.
@@ -97,7 +102,7 @@ class ShardStore:
         version, shards = before + 1, -(-total // self.small)
         key = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]) if key is None else key
         run = f"v{version:08d}-{uuid.uuid4().hex[:8]}"
-        named = rows.withColumn("millrace_shard", F.concat(F.lit(f"{label or f'v{version:08d}'}-s"), F.lpad(F.pmod(key, F.lit(shards)).cast("string"), 8, "0")))
+        named = rows.withColumn("millrace_bytes", self._bytes()).withColumn("millrace_shard", F.concat(F.lit(f"{label or f'v{version:08d}'}-s"), F.lpad(F.pmod(key, F.lit(shards)).cast("string"), 8, "0")))
         named.write.partitionBy("millrace_shard").parquet(f"{self.root}/data/millrace_run={run}")
         self.commit(self.manifest(before).unionByName(self._measured(run, version)), version)
         return version
@@ -105,9 +110,10 @@ class ShardStore:
     def plan(self, manifest: DataFrame) -> DataFrame:
         """(run, shard, merged) of the runs to merge: of one size tier, in order, up to the target each.
 
-        The running sum of a tier passes one task: a row of metadata for each run below the target.
+        Runs of ``NEAR`` of the target or more stay, so a row is merged about once for each tier it passes. The running
+        sum of a tier passes one task: a row of metadata for each run below the target.
         """
-        small = manifest.where(F.col("n_bytes") < self.target).withColumn("tier", size_tier(F.col("n_bytes")))
+        small = manifest.where(F.col("n_bytes") < self.target * NEAR).withColumn("tier", size_tier(F.col("n_bytes")))
         order = Window.partitionBy("tier").orderBy("shard")
         small = small.withColumn("group", F.floor((F.sum("n_bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_bytes")) / self.target))
         groups = small.groupBy("tier", "group").agg(F.count("*").alias("runs")).where(F.col("runs") >= self.fan_in)
@@ -126,32 +132,37 @@ class ShardStore:
         run = f"v{version:08d}-{uuid.uuid4().hex[:8]}"
         rows = self._live(plan).withColumn("millrace_shard", F.concat(F.lit(f"{label or f'v{version:08d}'}-"), F.col("millrace_key_merged")))
         rows = rows.drop("millrace_run", *[f"millrace_key_{c}" for c in plan.columns])
-        rows.repartition(merges, "millrace_shard").write.partitionBy("millrace_shard").parquet(f"{self.root}/data/millrace_run={run}")
+        rows.repartition(2 * merges, "millrace_shard").write.partitionBy("millrace_shard").parquet(f"{self.root}/data/millrace_run={run}")
         rest = manifest.join(plan, ["run", "shard"], "left_anti").select(*manifest.columns)
         self.commit(rest.unionByName(self._measured(run, version)), version)
         plan.unpersist()
         return version
 
     def vacuum(self) -> int:
-        """Remove shards that the latest manifest lacks; returns how many. Readers of older versions lose them."""
+        """Remove earlier versions and the shards that the latest manifest lacks; returns how many shards.
+
+        Readers of earlier versions lose them. A crash in between leaves manifests whose shards the next call removes.
+        """
         fs, base = file_system(self.spark, f"{self.root}/data")
         if not fs.exists(base):
             return 0
         path = self.spark._jvm.org.apache.hadoop.fs.Path
         now = self.version()
+        fs_m, manifests = file_system(self.spark, f"{self.root}/manifest")
+        old = [x.getPath() for x in fs_m.listStatus(manifests) if int(x.getPath().getName()[1:]) < now] if now else []
+        if not old:
+            return 0
+        # Dead shards are those of any earlier manifest; only names pass here, one at a time. The manifests go with them.
+        earlier = self.spark.read.schema(_MANIFEST).parquet(*[x.toString() for x in old]).select("run", "shard").distinct()
         removed = 0
-        # Only names pass here, one at a time: dead shards are those of any earlier manifest.
-        for v in range(1, now):
-            fs_m, old = file_system(self.spark, f"{self.root}/manifest/v{v:08d}")
-            if not fs_m.exists(old):
-                continue
-            dead = self.manifest(v).join(self.manifest(now), ["run", "shard"], "left_anti").select("run", "shard")
-            for r in dead.toLocalIterator():
-                removed += fs.delete(path(f"{self.root}/data/millrace_run={r.run}/millrace_shard={r.shard}"), True)
+        for r in earlier.join(self.manifest(now), ["run", "shard"], "left_anti").toLocalIterator():
+            removed += fs.delete(path(f"{self.root}/data/millrace_run={r.run}/millrace_shard={r.shard}"), True)
+        for x in old:
+            fs_m.delete(x, True)
         return removed
 
     def read(self, version: int | None = None) -> DataFrame:
         """Rows of a committed version with shard, n_docs, n_bytes and version of their shard as struct ``millrace_shard``."""
         rows = self._live(self.manifest(version))
         about = F.struct(*[F.col(f"millrace_key_{c}").alias(c) for c in ("shard", "n_docs", "n_bytes", "version")])
-        return rows.withColumn("millrace_shard", about).drop("millrace_run", *[c for c in rows.columns if c.startswith("millrace_key_")])
+        return rows.withColumn("millrace_shard", about).drop("millrace_run", "millrace_bytes", *[c for c in rows.columns if c.startswith("millrace_key_")])
