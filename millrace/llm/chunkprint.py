@@ -8,13 +8,13 @@ set of chunk digests, each with its chunk's length; what two texts share is meas
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of a chunk: at least, usually, at most.
@@ -24,7 +24,8 @@ _HARD, _EASY = np.uint32(0xFE000000), np.uint32(0xF0000000)
 _GEAR = np.frombuffer(b"".join(hashlib.sha256(b"gear" + bytes([i])).digest()[:4] for i in range(256)), "<u4").astype(np.uint32)
 _SEGMENT = 1 << 22
 _ENTRY = 8  # bytes: six of the digest, two of the length
-_CELLS, _BUCKET_ROWS = 16_384, 1024
+#: Ranges of documents at most, documents of a range, rows drawn for each range's edge, and code points of a text in an edge.
+_RANGES, _BUCKET_ROWS, _DRAWS, _PREFIX = 16_384, 1024, 8, 64
 
 
 def _hits(data: bytes) -> tuple[list[int], list[int]]:
@@ -131,14 +132,60 @@ def _compare(id_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Itera
     return run
 
 
+class _Edges:
+    """Where the ranges of documents begin, in descending order of ids with nulls last; one id's rows go by text."""
+
+    def __init__(self, rows: DataFrame, n: int, bucket_rows: int) -> None:
+        buckets = min(_RANGES, -(-n // bucket_rows))
+        share = min(1.0, buckets * _DRAWS / n)
+        drawn = rows.where(F.rand(7) < share).select("id").toArrow()["id"] if buckets > 1 else pa.chunked_array([], pa.int64())
+        ids = np.sort(~drawn.drop_null().to_numpy())
+        spots = np.arange(1, buckets) * len(drawn) // buckets if len(drawn) else np.zeros(0, int)
+        self.keys, times = np.unique(ids[spots[spots < len(ids)]], return_counts=True)
+        self.hot = {int(k): t for k, t in zip(self.keys, times.tolist()) if t > 1}
+        nulls = int((spots >= len(ids)).sum())
+        self.texts: dict[int | None, list[str]] = {int(k): [""] for k in self.keys}
+        if self.hot or nulls:  # one id, or none, has rows for several ranges: texts part them
+            drawn = rows.where(F.col("id").isin([~k for k in self.hot]) | F.col("id").isNull()).where(F.rand(8) < share)
+            found: dict[int | None, list[str]] = {}
+            for r in drawn.select("id", F.left("text", F.lit(_PREFIX)).alias("t")).collect():
+                found.setdefault(None if r.id is None else ~r.id, []).append(r.t)
+            for key, count in [*self.hot.items(), (None, nulls)]:
+                texts = sorted(found.get(key, []))
+                first = [""] if key is not None else []
+                self.texts[key] = sorted({*first, *[texts[i * len(texts) // (count + 1)] for i in range(1, count + 1) if texts]})
+        self.start = np.cumsum([0, *[len(self.texts[int(k)]) for k in self.keys]])
+
+    def needs_text(self, column: str) -> Column:
+        """The text's start where it decides on the range, else null."""
+        odd = F.col("id").isNull() if self.texts.get(None) else F.lit(False)
+        return F.when((F.col("id").isin([~k for k in self.hot]) | odd) if self.hot else odd, F.left(column, F.lit(_PREFIX)))
+
+    def range_of(self, key: int | None, text: str | None) -> int:
+        """The range of a row with the key of an edge, or with none."""
+        before = self.start[-1] if key is None else self.start[np.searchsorted(self.keys, key)]
+        return int(before) + bisect_right(self.texts.get(key, []), text or "")
+
+    def ranges(self, ids: pa.Array, texts: pa.Array) -> pa.Array:
+        none = ids.is_null().to_numpy(zero_copy_only=False)
+        keys = ~ids.fill_null(0).to_numpy()
+        place = np.searchsorted(self.keys, keys, "right")
+        out = np.where(none, self.start[-1], self.start[place])
+        for i in np.flatnonzero(texts.is_valid().to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self.range_of(None if none[i] else int(keys[i]), texts[i].as_py())
+        return pa.array(out.astype(np.int32))
+
+
 def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = _BUCKET_ROWS) -> DataFrame:
     """One row per input row: the id, n_chars, its own and its edited text's fingerprint, and how alike they are.
 
     The edited text takes its second half from the next document by descending id (after the last comes
     the first; a lone document follows itself). Ids are integers or null; equal ids go by text, null ids come
-    last, by text. Null text counts as empty. Documents are dealt out by ranges of ids, each range with a copy
-    of the row that follows it, so that texts are shuffled once and stream through tasks in order. The
-    driver sees counts of at most 16,384 equal intervals of ids and one id for each range.
+    last, by text. Null text counts as empty. Documents are dealt out by ranges, each with a copy of the row that
+    follows it, so that texts are shuffled once and stream through tasks in order. Ranges are even in rows, however
+    the ids lie: their edges are quantiles of drawn ids, and of drawn texts where an id has many rows; only rows equal
+    in both stay together. The result does not depend on the draw. The driver sees at most 16,384 ranges, eight
+    drawn ids for each and one id that begins it.
     """
     from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
@@ -147,31 +194,30 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         raise TypeError("ids must be integers")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    low, high, n = rows.agg(F.min("id"), F.max("id"), F.count("*")).first()
+    n = rows.count()
     names = [id_col, *[c.split()[0] for c in _RESULT.split(", ")]]
     if not n:
         return spark.createDataFrame([], f"id {kind.simpleString()}, {_RESULT}").toDF(*names)
-    low, high = (0, 0) if low is None else (low, high)
-    wide = -(-(high - low + 1) // _CELLS)
-    cell = ((F.col("id").cast("decimal(20,0)") - F.lit(low)) / F.lit(wide).cast("decimal(20,0)")).cast("int") if high - low >= 1 << 52 else F.floor((F.col("id") - F.lit(low)) / F.lit(wide)).cast("int")
-    counted = rows.where("id is not null").groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.max("id").alias("first")).collect()
-    number, heads, size = {}, [], bucket_rows  # buckets in order of descending ids, and the first id of each
-    for r in sorted(counted, key=lambda r: -r.cell):
-        if size >= bucket_rows:
-            heads.append(r.first)
-            size = 0
-        number[r.cell] = len(heads) - 1
-        size += r.n
-    nameless = n > sum(r.n for r in counted)
-    total = len(heads) + nameless
-    bucket_of = [number.get(i, 0) for i in range(max(number, default=0) + 1)]
-    bucket = F.when(F.col("id").isNull(), F.lit(len(heads))).otherwise(F.element_at(F.split(F.lit(",".join(map(str, bucket_of))), ",").cast("array<int>"), cell + 1))
-    main = rows.select(bucket.alias("bucket"), F.lit(False).alias("tail"), "id", "text")
-    # The head of each bucket also ends the bucket before it.
-    head = main.where(F.col("id").isin(heads)) if heads else main.where("false")
-    if nameless:
-        none = rows.where("id is null").agg(F.min("text").alias("text")).select(F.lit(len(heads)).alias("bucket"), F.lit(True).alias("tail"), F.lit(None).cast("long").alias("id"), "text")
-        head = head.unionByName(none)
+    edges = _Edges(rows, n, bucket_rows)
+
+    @F.arrow_udf("int")
+    def range_of(ids: pa.Array, texts: pa.Array) -> pa.Array:
+        return edges.ranges(ids, texts)
+
+    if edges.start[-1] or edges.texts.get(None):
+        found = rows.withColumn("range", range_of("id", edges.needs_text("text")))
+        # Ranges in order, without empty ones, and the id that each begins with.
+        firsts = sorted((r.range, r.first) for r in found.groupBy("range").agg(F.max("id").alias("first")).collect())
+        number = dict((r, i) for i, (r, _) in enumerate(firsts))
+        bucket = F.element_at(F.split(F.lit(",".join(str(number.get(i, 0)) for i in range(firsts[-1][0] + 1))), ",").cast("array<int>"), F.col("range") + 1)
+        main = found.select(bucket.alias("bucket"), F.lit(False).alias("tail"), "id", "text")
+        # The first row of each range also ends the range before it; of several with its id the first by text counts.
+        heads, total = F.col("id").isin([i for _, i in firsts if i is not None]), len(firsts)
+        head = main.where(heads | F.col("id").isNull() if any(i is None for _, i in firsts) else heads)
+    else:
+        main = rows.select(F.lit(0).alias("bucket"), F.lit(False).alias("tail"), "id", "text")
+        top, total = rows.agg(F.max("id")).first()[0], 1
+        head = main.where(F.col("id").eqNullSafe(F.lit(top).cast("long")))
     ends = head.select(F.pmod(F.col("bucket") - 1, F.lit(total)).alias("bucket"), F.lit(True).alias("tail"), "id", "text")
     dealt = main.unionByName(ends).repartition("bucket").sortWithinPartitions("bucket", "tail", F.desc_nulls_last("id"), "text")
     out = dealt.mapInArrow(_compare(pa.int64()), f"id long, {_RESULT}")

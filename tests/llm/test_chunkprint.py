@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import chunkprint as cp
@@ -59,6 +61,20 @@ def test_comparison_equals_a_loop(spark, bucket_rows):
     assert sorted(map(tuple, got.collect()), key=str) == _brute(rows)
 
 
+def test_ranges_are_even_however_ids_lie(spark):
+    """An outlier, a hot id and many null ids: no range takes in many times its share."""
+    rng = random.Random(8)
+    rows = [(i, _text(rng, 20)) for i in range(3000)] + [(1 << 62, "far")] + [(5, _text(rng, 20) + str(i)) for i in range(1500)] + [(None, _text(rng, 20) + str(i)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    edges = cp._Edges(df, len(rows), 100)
+    texts = [t if i in (5, None) else None for i, t in rows]
+    got = edges.ranges(pa.array([i for i, _ in rows], pa.int64()), pa.array(texts, pa.string())).to_numpy()
+    sizes = np.bincount(got)
+    assert len(sizes) > 50 and sizes.max() < 300
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, -(rows[i][0] or 0), rows[i][1].encode()))
+    assert (np.diff(got[order]) >= 0).all()
+
+
 def test_small_tables(spark):
     df = spark.createDataFrame([(3, "alone in here")], "doc_id int, text string")
     (row,) = cp.compare_with_edits(df).collect()
