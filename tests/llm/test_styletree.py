@@ -88,3 +88,30 @@ def test_importance_equals_a_plain_computation(spark):
         inside = [k for k, r in by.items() if n in r[0][3]]
         mean = sum(content[k] for k in inside) / max(1, sum(texts[k] for k in inside))
         assert got[n].pages == m and got[n].importance == pytest.approx(0.1 * shape + 0.9 * mean)
+
+
+def _word(rng):
+    return "".join(rng.choice("abcdefgh") for _ in range(6))
+
+
+def test_the_tree_judges_inside_an_article_and_beside_it(spark):
+    """A share box with a class that says nothing goes, a teaser article doesn't silence the page, and small hosts keep all."""
+    rng = random.Random(6)
+    words = lambda n: " ".join(_word(rng) for _ in range(n))
+    rows = []
+    for i in range(20):
+        rows.append((i, f"http://box.org/{i}", body := words(30), f"<article><div class=x1><p>Pass it on</p></div><div class=x2><p>{body}</p></div></article>"))
+    for i in range(20, 40):
+        rows.append((i, f"http://teaser.org/{i}", f"{(a := words(3))} {(b := words(60))}", f"<article>{a}</article><div class=x3>{b}</div><div class=x4>the same words</div>"))
+    rows.append((40, "http://one.org/", "Pass it on body", "<article><div class=x1><p>Pass it on</p></div><div class=x2><p>body</p></div></article>"))
+    df = spark.createDataFrame([(i, u, h) for i, u, _, h in rows], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in st.main_text(df).collect()} == {i: want for i, _, want, _ in rows}
+    assert st._parsed(rows[0][3]).text().startswith("Pass it on")  # by names alone it stays
+
+
+def test_depth_is_no_burden():
+    deep = "<div>" * 100_000 + "<p>text</p>"
+    page = st._parsed(deep)
+    assert page.text() == "text"
+    assert max(len(n.chain()) for n in page.shapes if n.depth <= st.DEPTH) == st.DEPTH
+    assert st._parsed("<p><button>" + "<div>" * 50_000 + "x" + "</i></b>" * 1000).text() == ""
