@@ -5,7 +5,7 @@
 * address suffix and host: a prior for the language of a host, smoothed towards its domain, that towards
   the suffix, that towards all rows; counts of all rows by grouped aggregation, the row's own left out.
 
-The model is fitted on a bounded sample of labelled rows; the counts cover every row.
+The model is fitted on a bounded sample of distinct texts of each label; the counts cover every row.
 """
 
 from __future__ import annotations
@@ -15,15 +15,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.shared import stored
 
-#: Labelled rows that the model is fitted on at most; labels with fewer rows there are left out.
-SAMPLE, LEAST_LABELLED, MOST_LANGUAGES = 4000, 10, 64
+#: Distinct texts of each label that the model is fitted on at most.
+SAMPLE = 1000
 #: Documents of the sample that must hold a trigram for it to be known: one odd document vouches for none.
+#: Of a label with fewer documents all of its own must.
 LEAST_DOCS = 3
 #: Trigrams that a text's evidence is worth at most: neighbours are not independent.
 WORTH = 60.0
@@ -36,6 +38,7 @@ UNKNOWN = "und"
 _SLOTS = 1 << 16
 _UNIT = 1024  # log-likelihoods are whole multiples of a nat over this, so sums do not depend on order
 _SEGMENT = 1 << 20
+_PRIMARY = "^[a-z]+"
 #: Country suffixes whose rows lean towards a language, as pseudo-counts of the suffix's prior. Fixed values.
 _SUFFIX = {"de": "de", "at": "de", "ch": "de", "fr": "fr", "be": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl", "ru": "ru", "jp": "ja", "cn": "zh"}
 _SUFFIX_COUNT = 16.0
@@ -88,27 +91,34 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Fit on the ``sample`` rows whose hash is least, of those with a label and a text.
+    """Fit on the ``sample`` distinct texts of each label whose hash is least, of the rows with a label and a text.
 
-    What reaches the driver is bounded: one count for each language and slot that the sample has.
+    Labels are all that the column has, in lower case and up to the first other character than a letter; each has its
+    own share of the sample, so a rare language is learnt from as many texts as it has, and copies of a text count
+    once. What reaches the driver and the workers is bounded by the number of labels: 256 KB for each.
     """
-    rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("mark", F.xxhash64("text"))
-    last = rows.select("mark").orderBy("mark").limit(sample).agg(F.max("mark")).first()[0]
-    if last is None:
+    label = F.regexp_extract(F.lower(F.trim(F.col(label_col).cast("string"))), _PRIMARY, 0)
+    rows = labelled.select(label.alias("label"), F.col(text_col).alias("text")).where("text is not null and label <> ''").withColumn("mark", F.xxhash64("text"))
+    # The hashes are even, so about twice the sample lies under this mark; the rest needs no shuffle.
+    about = rows.groupBy("label").agg(F.approx_count_distinct("mark").alias("n")).collect()
+    if not about:
         return Model([], np.zeros((0, _SLOTS)), np.zeros(_SLOTS, bool))
-    counted = rows.where(F.col("mark") <= last).select("label", "text").mapInArrow(_count_grams, "label string, slot int, n long, docs long")
-    found = counted.groupBy("label", "slot").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).toArrow().to_pylist()
-    size = {r["label"]: r["n"] for r in found if r["slot"] < 0}
-    languages = sorted(sorted(size, key=lambda x: (-size[x], x))[:MOST_LANGUAGES])
-    languages = [x for x in languages if size[x] >= LEAST_LABELLED] or languages
-    counts, docs = np.zeros((len(languages), _SLOTS)), np.zeros(_SLOTS, np.int64)
-    place = {x: i for i, x in enumerate(languages)}
-    for r in found:
-        if r["slot"] >= 0 and r["label"] in place:
-            counts[place[r["label"]], r["slot"]] = r["n"]
-            docs[r["slot"]] += r["docs"]
-    return Model(languages, counts, docs >= LEAST_DOCS)
+    last = [(r.label, -(1 << 63) + min((1 << 64) - 1, (2 * sample << 64) // max(r.n, 1))) for r in about]
+    low = rows.join(rows.sparkSession.createDataFrame(last, "label string, last long"), "label").where("mark <= last")
+    place = F.row_number().over(Window.partitionBy("label").orderBy("mark"))
+    drawn = low.groupBy("label", "mark").agg(F.first("text").alias("text")).withColumn("place", place).where(F.col("place") <= sample)
+    counted = drawn.select("label", "text").mapInArrow(_count_grams, "label string, slot int, n long, docs long")
+    found = counted.groupBy("label", "slot").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).toArrow()
+    size = {r["label"]: r["n"] for r in found.filter(pc.field("slot") < 0).to_pylist()}
+    languages = sorted(size)
+    at = {x: i for i, x in enumerate(languages)}
+    found = found.filter(pc.field("slot") >= 0)
+    which, slot, n, held = np.array([at[x] for x in found["label"].to_pylist()], np.int64), *(found[c].to_numpy() for c in ("slot", "n", "docs"))
+    counts, docs, known = np.zeros((len(languages), _SLOTS)), np.zeros(_SLOTS, np.int64), np.zeros(_SLOTS, bool)
+    counts[which, slot] = n
+    np.add.at(docs, slot, held)
+    known[slot[held >= np.minimum(LEAST_DOCS, np.array([size[x] for x in languages], np.int64)[which])]] = True
+    return Model(languages, counts, known | (docs >= LEAST_DOCS))
 
 
 def _scorer(model: Broadcast, text_of: Callable[[str], str] | None):
@@ -134,26 +144,29 @@ def _vector(prefix: str, n: int) -> Column:
     return F.array(*[F.col(f"{prefix}{i}").cast("double") for i in range(n)])
 
 
-def identify(docs: DataFrame, model: Model, text_col: str, declared: Column | None = None, host: Column | None = None, text_of: Callable[[str], str] | None = None, taken: str = "found") -> DataFrame:
+def identify(docs: DataFrame, model: Model, text_col: str, declared: Column | None = None, host: Column | None = None, text_of: Callable[[str], str] | None = None, taken: str = "found", keep: list[str] | None = None) -> DataFrame:
     """Every row of ``docs`` with a struct column named ``taken``: lang, posterior, text_lang and rejected.
 
     ``lang`` has the highest posterior (ties: first in the model's order), or is "und" where the row is
     rejected: no trigram, few known trigrams, or a low posterior. Null text counts as empty; a null or empty
     declaration or host is no evidence. Equal rows are all kept, and each counts for its host. A model
-    without languages rejects every row. An existing column named ``taken`` is an error.
+    without languages rejects every row. An existing column named ``taken`` is an error. ``keep`` names the
+    columns of ``docs`` that come along (default: all); without the text's, a text is scored once and its evidence stored,
+    with it the text is scored again, which costs less than to store or shuffle it.
     """
+    keep = docs.columns if keep is None else keep
     if taken in docs.columns:
         raise ValueError(f"the table has a column named {taken}")
     size = len(model.languages)
     spark = docs.sparkSession
     kind = "struct<lang:string,posterior:double,text_lang:string,rejected:boolean>"
     if not size:
-        return docs.withColumn(taken, F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("posterior"), F.lit(None).cast("string").alias("text_lang"), F.lit(True).alias("rejected")).cast(kind))
+        return docs.select(*[F.col(f"`{c}`") for c in keep]).withColumn(taken, F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("posterior"), F.lit(None).cast("string").alias("text_lang"), F.lit(True).alias("rejected")).cast(kind))
     score = _scorer(spark.sparkContext.broadcast(model), text_of)
     none = F.lit(None).cast("string")
     clean = lambda c: F.nullif(F.lower(F.trim(c.cast("string"))), F.lit("")) if c is not None else none
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    said = F.regexp_extract(clean(declared), r"^[a-z]+", 0) if declared is not None else none
+    said = F.regexp_extract(clean(declared), _PRIMARY, 0) if declared is not None else none
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], said.alias("said"), clean(host).alias("host"))
     parts = F.split("host", r"\.")
     rows = rows.withColumn("suffix", F.when(F.size(parts) > 1, F.element_at(parts, -1))).withColumn("domain", F.when(F.size(parts) > 1, F.concat_ws(".", F.slice(parts, -2, 2))).otherwise(F.col("host")))
@@ -162,7 +175,11 @@ def identify(docs: DataFrame, model: Model, text_col: str, declared: Column | No
     scaled = F.transform("e.logs", lambda x: x * (F.least(F.lit(1.0), F.lit(WORTH) / F.greatest(F.col("e.grams"), F.lit(1))) / _UNIT))
     fits = (F.col("e.grams") > 0) & (F.col("e.known") >= F.col("e.grams") * LEAST_KNOWN)
     rows = rows.withColumn("text_logs", scaled).withColumn("own", F.when(fits, F.array_position("e.logs", F.array_max("e.logs")) - 1))
-    marks = stored(rows.select("said", "suffix", "domain", "host", "own"), "languages")
+    if text_col in keep:
+        marks = stored(rows.select("said", "suffix", "domain", "host", "own"), "languages")
+    else:
+        rows = marks = stored(rows.select(*[names[c] for c in keep], "said", "suffix", "domain", "host", "own", "e", "text_logs", fits.alias("fits")), "languages")
+        fits = F.col("fits")
 
     def rates(n: str, parent: Column, smooth: float) -> Column:
         return F.transform(_vector(n, size), lambda x, i: x + F.lit(smooth) * F.get(parent, i))
@@ -194,7 +211,7 @@ def identify(docs: DataFrame, model: Model, text_col: str, declared: Column | No
     lang = F.get(F.array(*map(F.lit, model.languages)), (F.array_position("sums", F.col("top")) - 1).cast("int"))
     rejected = ~fits | (F.col("posterior") < LEAST_POSTERIOR)
     found = F.struct(F.when(rejected, F.lit(UNKNOWN)).otherwise(lang).alias("lang"), F.round("posterior", 6).alias("posterior"), F.get(F.array(*map(F.lit, model.languages)), F.col("own").cast("int")).alias("text_lang"), rejected.alias("rejected"))
-    return both.select(*[F.col(n).alias(c) for c, n in names.items()], found.alias(taken))
+    return both.select(*[F.col(names[c]).alias(c) for c in keep], found.alias(taken))
 
 
 _LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z-]+)", re.I)

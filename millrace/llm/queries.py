@@ -135,16 +135,16 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every page (main text, html language, address and host) and of every document.
 
     A document declares its ``lang`` and its ``source`` stands for the host; rows carry doc_id or page_id.
-    The model is fitted on at most ``langid.SAMPLE`` labelled rows of ``documents``.
+    The model is fitted on at most ``langid.SAMPLE`` distinct texts of each label of ``documents``.
     """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     model = langid.fit(docs)
-    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html", langid.declared_language("html").alias("declared"))
     none = F.lit(None).cast("long")
-    of_pages = langid.identify(pages, model, "html", langid.declared_language("html"), styletree.host_of(F.col("url")), styletree.page_text)
-    of_docs = langid.identify(docs, model, "text", F.col("lang"), F.col("source"))
+    of_pages = langid.identify(pages, model, "html", F.col("declared"), styletree.host_of(F.col("url")), styletree.page_text, keep=["page_id", "declared"])
+    of_docs = langid.identify(docs, model, "text", F.col("lang"), F.col("source"), keep=["doc_id", "lang"])
     return of_docs.select("doc_id", none.alias("page_id"), "found.*", F.col("lang").alias("declared")).unionByName(
-        of_pages.select(none.alias("doc_id"), "page_id", "found.*", langid.declared_language("html").alias("declared"))
+        of_pages.select(none.alias("doc_id"), "page_id", "found.*", "declared")
     )
 
 

@@ -22,6 +22,19 @@ def test_held_out_accuracy(docs):
     assert right / n > 0.97 and gone / n < 0.01
 
 
+def test_copies_and_rare_languages_in_the_sample(spark, docs):
+    """Copies of a text fill no sample, and a language with three texts among thousands is learnt from them."""
+    french = [r.doc_id for r in docs.where("lang = 'fr' and length(text) > 800").orderBy("doc_id").limit(3).collect()]
+    few = docs.where(F.col("lang").isin("en", "de") | F.col("doc_id").isin(french))
+    hot = few.where("lang = 'en'").orderBy(F.xxhash64("text")).limit(1).crossJoin(spark.range(3000)).select((F.col("id") + 10**7).alias("doc_id"), "text", "lang", "source")
+    model = langid.fit(few.unionByName(hot), sample=100)
+    assert model.languages == ["de", "en", "fr"]
+    plain = langid.fit(few, sample=100)
+    assert (plain.logs == model.logs).all() and (plain.known == model.known).all()
+    found = {r.doc_id: r.found for r in langid.identify(few, model, "text", F.col("lang")).where(F.col("doc_id").isin(french)).collect()}
+    assert all(f.lang == "fr" and not f.rejected for f in found.values())
+
+
 def _plain(rows, model):
     """The fusion in plain Python: rows of (text, declared, host)."""
     size = len(model.languages)
