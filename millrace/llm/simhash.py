@@ -260,7 +260,10 @@ def heads_only(docs: DataFrame, parts: DataFrame, mark_of, id_col: str, text_col
     one = plain.join(usual, F.col(at) == F.col("id"), "left_semi").dropDuplicates([at])
     # Ids that are null or have rows in several groups: the fingerprint tells their rows apart.
     odd = ids.where("groups > 1 or id is null").select("id")
-    rows = plain.join(odd, F.col(at).eqNullSafe(F.col("id")), "left_semi").withColumn("fp", mark_of(F.col(text).cast("binary")))
+    if odd.isEmpty():
+        return one.toDF(*docs.columns)
+    # Stored, for else the texts of all rows would be marked before the joins pick some.
+    rows = stored(plain.join(odd, F.col(at).eqNullSafe(F.col("id")), "left_semi"), "simhash-odd").withColumn("fp", mark_of(F.col(text).cast("binary")))
     named = heads.select(F.col("id").alias("head"), F.col("root"), "fp")
     more = rows.join(named, (F.col(at).eqNullSafe(F.col("head"))) & (rows["fp"] == named["fp"]), "left_semi").dropDuplicates([at, "fp"]).drop("fp")
     return one.unionByName(more).toDF(*docs.columns)
