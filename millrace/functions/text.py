@@ -172,3 +172,61 @@ def third_of(line: Column | str, n_lines: Column | str) -> Column:
     """first, middle or last: the third of the lines that holds a line number."""
     third = F.least(F.lit(2), F.greatest(F.lit(0), F.floor((_col(line) - 1) * 3 / F.greatest(F.lit(1), _col(n_lines)))))
     return F.element_at(F.array(F.lit("first"), F.lit("middle"), F.lit("last")), (third + 1).cast("int"))
+
+
+#: Prefixes of question ids in another dataset's wording, and the words that it swaps, in order.
+_FAMILY_OF = (r"^tm-(\d\d-.*)$", "gen-$1"), (r"^tm-(vul|cmp|eod)-(.*)$", "$1-$2")
+_SWAPS = ("agent's", "assistant's"), ("Agent's", "Assistant's"), ("agent", "assistant"), ("Agent", "Assistant"), ("customer's", "user's"), ("Customer's", "User's"), ("customer", "user"), ("Customer", "User"), ("call", "conversation")
+
+
+def lineage(question: Column | str) -> Column:
+    """The base question of a variant's id; any other id is its own base."""
+    out = _col(question)
+    for pattern, base in _FAMILY_OF:
+        out = F.regexp_replace(out, pattern, base)
+    return out
+
+
+def swapped_words(text: Column | str) -> Column:
+    """A question's text in the wording of written dialogues: whole words only, as they are spelt."""
+    out = _col(text)
+    for word, other in _SWAPS:
+        out = F.regexp_replace(out, rf"\b{word}\b", other)
+    return out
+
+
+#: Words for nobody and connectives in a reply that names speakers.
+NOBODY = ("none", "n/a", "null", "", "and", "-", "no", "host", "hosts", "guest", "guests")
+
+
+def named_tags(reply: Column | str) -> Column:
+    """The names in a free reply: no bracketed remarks, cut at commas, semicolons and space, no quotes or stops around."""
+    plain = F.regexp_replace(F.coalesce(_col(reply), F.lit("")), r"\s*\([^)]*\)", "")
+    return F.filter(F.transform(F.split(plain, r"[,;\s]+"), lambda x: F.regexp_replace(x, "^[\"'.]+|[\"'.]+$", "")), lambda x: x != "")
+
+
+def matched_tags(reply: Column | str, tags: Column | str) -> Column:
+    """Those of ``tags`` that the reply names in any case, ascending."""
+    low = F.transform(named_tags(reply), F.lower)
+    return F.array_sort(F.array_distinct(F.filter(_col(tags), lambda t: F.array_contains(low, F.lower(t)))))
+
+
+def unmatched_tags(reply: Column | str, tags: Column | str) -> Column:
+    """Named tags that are none of ``tags``, except words for nobody: such a reply is to be refused."""
+    low = F.transform(_col(tags), F.lower)
+    return F.filter(named_tags(reply), lambda x: ~F.array_contains(low, F.lower(x)) & ~F.lower(x).isin(*NOBODY))
+
+
+def line_numbers(raw: Column | str, n_lines: Column | str) -> tuple[Column, Column]:
+    """(evidence, dropped) of a JSON list by the coercing rule: whole numbers, also as digits in quotes, within the lines.
+
+    The numbers come ascending and once each; dropped counts entries that are no number or outside. Truth values
+    are no numbers. Text that is no JSON list gives null for both.
+    """
+    items = F.from_json(_col(raw), "array<variant>")
+    value = lambda v: F.variant_get(v, "$", "string")
+    kind = lambda v: F.schema_of_variant(v)
+    whole = lambda v: F.when(kind(v) == "BIGINT", True).when(kind(v) == "STRING", value(v).rlike(r"^\s*\d+\s*$")).when(kind(v).rlike("^(DECIMAL|DOUBLE|FLOAT)"), value(v).cast("double") == F.floor(value(v).cast("double"))).otherwise(False)
+    number = lambda v: F.when(F.coalesce(whole(v), F.lit(False)), F.trim(value(v)).cast("double").cast("long"))
+    good = F.filter(F.transform(items, number), lambda e: e.isNotNull() & (e >= 1) & (e <= _col(n_lines)))
+    return F.array_sort(F.array_distinct(good)), F.size(items) - F.size(good)

@@ -11,7 +11,7 @@ from millrace.operators import agreement, podcasts, ranks, scoring, splits
 from millrace.plans.tables import table
 
 _OPTIONS = "['pass', 'fail', 'none']"
-_PAIRS = """pairs AS (SELECT doc_id, source, lang, 'q' || (doc_id % 6)::VARCHAR AS question, n_chars, 3 + doc_id % 5 AS n_lines,
+PAIRS_SQL = _PAIRS = """pairs AS (SELECT doc_id, source, lang, 'q' || (doc_id % 6)::VARCHAR AS question, n_chars, 3 + doc_id % 5 AS n_lines,
     CASE WHEN quality = 1 THEN 'pass' WHEN toxic = 1 THEN 'none' ELSE 'fail' END AS gold, ('0x' || substr(sha1(doc_id::VARCHAR), 1, 6))::BIGINT % 10 AS h
   FROM labels JOIN documents USING (doc_id)),
 a AS (SELECT *, CASE WHEN h < 6 THEN gold WHEN h = 6 THEN ' Pass' WHEN h = 7 THEN 'no such' WHEN h = 8 THEN 'fail' END AS answer,
@@ -42,6 +42,9 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+pairs = _pairs
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score_pairs(_pairs(spark, sf_dir))
 

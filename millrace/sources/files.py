@@ -84,6 +84,34 @@ def write_split(docs: DataFrame, key: str, path: str, fraction: float = 0.02) ->
     return docs.sparkSession.read.parquet(path).groupBy("split").agg(F.count("*").alias("docs"), F.sum(X.word_count("text")).alias("words"))
 
 
+def read_by_ids(spark: SparkSession, path: str, ids: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The given columns of the rows whose key ``ids`` has; the scan reads those columns alone, null keys match nothing."""
+    return spark.read.parquet(path).select(*columns).join(ids.select(key).distinct(), key, "left_semi")
+
+
+def side_summary(records: DataFrame, side: str, doc: str, lines: str, answer: str) -> DataFrame:
+    """(side, what, name, n): records, documents, lines per document (nearest ranks) and answers of each side.
+
+    A document counts once a side, with the lines of its first record by number; null answers are named "".
+    """
+    from millrace.operators.ranks import nearest_ranks
+
+    docs = records.groupBy(side, doc).agg(F.min(lines).alias("lines"))
+    row = lambda what, name, n: (F.lit(what).alias("what"), name.alias("name"), n.cast("long").alias("n"))
+    sums = records.groupBy(side).agg(F.count("*").alias("c")).select(side, *row("records", F.lit(""), F.col("c")))
+    whole = docs.groupBy(side).agg(F.count("*").alias("c")).select(side, *row("docs", F.lit(""), F.col("c")))
+    names = ["min", "p50", "p90", "p99", "max"]
+    ranks = nearest_ranks(docs, [side], "lines").select(side, F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.col(c).cast("long") for c in names]))).alias("name", "v"))
+    said = records.groupBy(side, F.coalesce(F.col(answer), F.lit("")).alias("name")).agg(F.count("*").alias("c"))
+    return sums.unionByName(whole).unionByName(ranks.select(side, *row("lines", F.col("name"), F.col("v")))).unionByName(said.select(side, *row("answer", F.col("name"), F.col("c"))))
+
+
+def write_sides(records: DataFrame, path: str, side: str, doc: str, lines: str, answer: str) -> DataFrame:
+    """Write records under a folder for each side; ``side_summary`` of what was written."""
+    records.write.mode("overwrite").partitionBy(side).parquet(path)
+    return side_summary(records.sparkSession.read.parquet(path), side, doc, lines, answer)
+
+
 def append_new(ledger: str, rows: DataFrame, key: str) -> int:
     """Append the rows whose key the ledger lacks, one for each key; how many. Spark's commit leaves no torn rows."""
     spark = rows.sparkSession
