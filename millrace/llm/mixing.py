@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.shared import new_name, remove, scratch_path, stored
@@ -10,6 +12,8 @@ from millrace.llm.shared import new_name, remove, scratch_path, stored
 #: Targets are shares of tokens to this power, so small groups gain and none is lost.
 POWER = 0.85
 ROUNDS, TOLERANCE = 40, 1e-9
+#: Cells that are raked inside one row, by functions of arrays; more are raked as tables, round by round.
+ROW_CELLS = 512
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -32,14 +36,52 @@ def tempered_targets(cells: DataFrame, margin: str, power: float = POWER) -> Dat
     return raised.join(F.broadcast(whole)).select(margin, (F.col("v") / F.col("whole")).alias("target"))  # one row
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value found once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _raked_row(cells: DataFrame, targets: dict[str, DataFrame], rounds: int, tolerance: float) -> DataFrame:
+    """``rake`` over few cells: an array of weights is folded over all rounds and margins; each margin's values are numbered."""
+    numbered = cells
+    for margin, target in targets.items():
+        place = target.withColumn(f"{margin} number", F.row_number().over(Window.orderBy(margin)) - 1)
+        numbered = numbered.join(place.withColumnRenamed("target", f"{margin} target"), margin)
+    places = F.array(*[F.struct(F.col(f"{m} number").alias("k"), F.col(f"{m} target").alias("target")) for m in targets])
+    row = numbered.agg(F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in cells.columns], places.alias("places")))).alias("cells"))
+    start = F.struct(F.transform("cells", lambda x: x["w"].cast("double")).alias("fitted"), F.lit(0.0).alias("gap"), F.lit(False).alias("done"))
+
+    def step(state: Column, i: Column) -> Column:
+        margin = i % len(targets)
+        at = lambda x: F.get(x["places"], margin)
+        values = F.sequence(F.lit(0), F.array_max(F.transform("cells", lambda x: at(x)["k"])))
+        pairs = F.zip_with("cells", state["fitted"], lambda x, f: F.struct(at(x)["k"].alias("k"), f.alias("f")))
+        sums = _bound(pairs, lambda p: F.transform(values, lambda k: F.aggregate(F.filter(p, lambda y: y["k"] == k), F.lit(0.0), lambda s, y: s + y["f"])))
+        factors = _bound(sums, lambda s: F.transform("cells", lambda x: at(x)["target"] / F.get(s, at(x)["k"])))
+        last = margin == len(targets) - 1
+
+        def after(f: Column) -> Column:
+            gap = F.greatest(F.when(margin == 0, 0.0).otherwise(state["gap"]), F.array_max(F.transform(f, lambda x: F.abs(x - 1))))
+            return F.struct(F.zip_with(state["fitted"], f, lambda a, b: a * b).alias("fitted"), gap.alias("gap"), (last & (gap < tolerance)).alias("done"))
+
+        return F.when(state["done"], state).otherwise(_bound(factors, after))
+
+    fitted = F.aggregate(F.sequence(F.lit(0), F.lit(rounds * len(targets) - 1)), start, step, lambda s: s["fitted"])
+    out = row.select(F.explode(F.zip_with("cells", fitted, lambda x, f: F.struct(*[x[c].alias(c) for c in cells.columns], f.alias("fitted")))).alias("x"))
+    return out.select("x.*")
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE, row_cells: int = ROW_CELLS) -> DataFrame:
     """Iterative proportional fitting: the columns of ``cells`` with ``fitted``, whose sums meet the targets.
 
     ``cells`` has the margins' columns and the weight ``w`` > 0; a target table has a margin and its share.
     Rounds end when every margin is met within the tolerance, or after ``rounds``. Targets that the cells
-    cannot meet (a value without cells) leave the nearest raked weights. Nothing is collected but the
-    largest gap of a round; each round is a table in the shared folder.
+    cannot meet (a value without cells) leave the nearest raked weights. At most ``row_cells`` cells are one row, whose
+    rounds are a fold in one expression; beyond that each round is a table in the shared folder and nothing is
+    collected but its largest gap. Both ways do the same sums.
     """
+    if cells.limit(row_cells + 1).count() <= row_cells:
+        return _raked_row(cells, targets, rounds, tolerance)
     spark = cells.sparkSession
     tables = {m: stored(t, f"target-{m}") for m, t in targets.items()}
     path = scratch_path(spark, "raked")

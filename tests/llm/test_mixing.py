@@ -83,3 +83,12 @@ def test_topics_and_words(spark):
     df = spark.createDataFrame([("",), (None,), (" \t",), ("a\nb\nc",), ("a b c",), ("w " * 300,), ("w " * 900,), ("x y z",)], "text string")
     n = mixing.word_count(F.col("text"))
     assert [tuple(r) for r in df.select(n, mixing.form_topic(F.col("text"), n)).collect()] == [(0, "empty"), (0, "empty"), (0, "empty"), (3, "list"), (3, "note"), (300, "article"), (900, "long"), (2, "note")]
+
+
+def test_both_ways_of_raking_agree(spark):
+    rng = __import__("random").Random(3)
+    cells = spark.createDataFrame([(f"s{i}", f"l{j}", "ab"[k], rng.randint(1, 999)) for i in range(6) for j in range(3) for k in range(2) if rng.random() < 0.8], "source string, language string, topic string, w long")
+    targets = {m: mixing.tempered_targets(cells, m, 0.5) for m in ("source", "language", "topic")}
+    one, two = ({tuple(r)[:3]: r.fitted for r in mixing.rake(cells, targets, row_cells=n).collect()} for n in (512, 0))
+    assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k], rel=1e-9) for k in one)
+    assert mixing.rake(cells.where("false"), targets).count() == 0
