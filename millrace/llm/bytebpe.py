@@ -346,6 +346,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text
                     new.append(pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in found]))
                     new.append(pa.array([hashlib.sha256(x).hexdigest() for x in tool.decode(found)]))
                 yield pa.record_batch(part.columns[:-1] + new, own + made)
+        tool.forget()  # the worker may serve other queries next
 
     out = given.mapInArrow(run, schema)
     names = [docs.columns[int(c[1:])] for c in own]
