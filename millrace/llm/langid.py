@@ -104,7 +104,8 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", sa
     if not about:
         return Model([], np.zeros((0, _SLOTS)), np.zeros(_SLOTS, bool))
     last = [(r.label, -(1 << 63) + min((1 << 64) - 1, (2 * sample << 64) // max(r.n, 1))) for r in about]
-    low = rows.join(rows.sparkSession.createDataFrame(last, "label string, last long"), "label").where("mark <= last")
+    # As a local relation, whose size Spark knows: it is broadcast while it is small.
+    low = rows.join(rows.sparkSession.createDataFrame(pa.table({"label": [x for x, _ in last], "last": pa.array([y for _, y in last], pa.int64())})), "label").where("mark <= last")
     place = F.row_number().over(Window.partitionBy("label").orderBy("mark"))
     drawn = low.groupBy("label", "mark").agg(F.first("text").alias("text")).withColumn("place", place).where(F.col("place") <= sample)
     counted = drawn.select("label", "text").mapInArrow(_count_grams, "label string, slot int, n long, docs long")
