@@ -58,6 +58,24 @@ def test_elimination_leaves_candidates_out():
         assert [(-s, c) for q, c, s in got if q == i] == want
 
 
+def test_cells_that_cannot_win_are_not_sent(spark):
+    """Six clusters: most pairs of cells are dropped before the shuffle, in small blocks, and the result is the same."""
+    rows = _rows(900, seed=4)
+    x = np.array([[math.floor(256 * v) for v in r[1]] for r in rows], np.int64)
+    pivots = topk.choose_pivots(x, 6)
+    far, cell = topk._distances(x, pivots), topk._distances(x, pivots).argmin(1)
+    ids = list(range(900))
+    asked = np.array(ids) % 50 == 0
+    floor = topk._floors(x[::3], ids[::3], x, ids, 5)
+    about = lambda keep: {c: topk.Bounds(int(m.sum()), float((x[m] ** 2).sum(1).max()), float(floor[m].min()), far[m].min(0).tolist(), far[m].max(0).tolist()) for c in range(6) if (m := (cell == c) & keep).any()}
+    cands, queries = about(asked | True), about(asked)
+    meet = topk.cell_pairs(cands, queries)
+    assert {(c, c) for c in queries} <= meet and len(meet) < 0.7 * len(cands) * len(queries)
+    place = topk._packed(cands, pivots, 100)
+    assert sum(n for _, n in place.values()) >= 9 and len({f for f, _ in place.values()}) >= 5
+    assert _got(spark, rows, pivots=6, candidate_rows=100, query_rows=3) == _brute(rows)
+
+
 @pytest.mark.parametrize("big", [1 << 20, 1 << 28])
 def test_large_components_stay_exact(spark, big):
     rng = random.Random(1)
