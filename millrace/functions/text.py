@@ -73,16 +73,21 @@ def without_change_marks(text: Column | str) -> Column:
     return F.regexp_replace(_col(text), r"^(>>\s*)+", "")
 
 
+#: Notes in brackets of either kind, of at most forty characters.
+_NOTE = "|".join(rf"\{a}[^\])]{{1,40}}[\])]" for a in "[(")
+
+
 def without_non_speech(text: Column | str) -> Column:
-    """Text without short bracketed notes such as [Music] or (laughs), white space made single."""
-    return collapse_space(F.regexp_replace(_col(text), r"[\[(][^\])]{1,40}[\])]", " "))
+    """Text without short bracketed notes such as [Applause] or (coughs), white space made single."""
+    pieces = F.split(_col(text), _NOTE)
+    return collapse_space(F.array_join(pieces, " "))
 
 
 def surface(text: Column | str) -> Column:
     """Recogniser output with a capital, a capital I and a closing mark."""
-    t = F.regexp_replace(F.trim(_col(text)), r"(?U)\bi\b", "I")
-    t = F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1 << 30))
-    return F.when(t == "", t).when(F.substring(t, -1, 1).isin(".", "?", "!"), t).otherwise(F.concat(t, F.lit(".")))
+    said = F.regexp_replace(F.trim(_col(text)), r"(?<![\p{L}\p{N}_])i(?![\p{L}\p{N}_])", "I")
+    mark = F.when(F.right(said, F.lit(1)).isin("", ".", "?", "!"), "").otherwise(".")
+    return F.concat(F.upper(F.left(said, F.lit(1))), F.substring(said, 2, 1 << 30), mark)
 
 
 def sentences(text: Column | str) -> Column:
@@ -100,12 +105,16 @@ def normal_title(title: Column | str) -> Column:
 
 
 def normal_show(title: Column | str) -> Column:
-    """A show's name: no closing bracketed group, no leading "the", no trailing "podcast"; never emptied by that."""
-    low = F.lower(F.coalesce(_col(title), F.lit("")))
-    cut = F.regexp_replace(low, r"\s*[(\[][^()\[\]]*[)\]]\s*$", "")
-    plain = F.trim(F.regexp_replace(F.when(cut == "", low).otherwise(cut), _NOT_WORD, " "))
-    core = F.trim(F.regexp_replace(F.regexp_replace(plain, r"(\s+the)?\s+podcast$", ""), r"^the\s+", ""))
-    return F.when(core == "", plain).otherwise(core)
+    """A show's name: without a closing bracketed group, a leading "the" and a trailing "podcast"; never emptied by that."""
+    low = F.rtrim(F.lower(F.coalesce(_col(title), F.lit(""))))
+    tail = F.element_at(F.split(low, r"[(\[]"), -1)  # what follows the last opening bracket
+    front = F.left(low, F.length(low) - F.length(tail) - 1)
+    grouped = (F.length(tail) < F.length(low)) & tail.rlike(r"^[^)\]]*[)\]]$") & (F.trim(front) != "")
+    words = F.filter(F.split(normal_title(F.when(grouped, front).otherwise(low)), " "), lambda w: w != "")
+    # Every word that may go needs another one that stays.
+    without = lambda ws, place, word: F.when((F.size(ws) > 1) & (F.element_at(ws, place) == word), F.slice(ws, 2 if place == 1 else 1, F.size(ws) - 1)).otherwise(ws)
+    cut = without(words, -1, "podcast")
+    return F.array_join(without(F.when(F.size(cut) < F.size(words), without(cut, -1, "the")).otherwise(words), 1, "the"), " ")
 
 
 def normal_name(name: Column | str) -> Column:

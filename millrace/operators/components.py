@@ -10,14 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _written(df: DataFrame) -> tuple[DataFrame, str]:
-    """A table in the shared folder that the cluster names, and its path."""
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """A table in the shared folder that the cluster names, and its path; a folder of this machine where none is named."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), "millrace-scratch")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/millrace/components-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "millrace-scratch")
+    path = f"{root.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -35,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
     folder; two numbers reach the driver.
     """
     low, high = F.least("u", "v"), F.greatest("u", "v")
-    now, path = _written(edges.where("u <> v").select(high.alias("u"), low.alias("v")).distinct())
+    now, path = written(edges.where("u <> v").select(high.alias("u"), low.alias("v")).distinct(), "components")
     mark = (F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
     said = tuple(now.agg(*mark).first())
     while said[0]:
@@ -44,7 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = ways.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after, to = _written(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct())
+        after, to = written(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "components")
         _remove(now, path)
         before, said = said, tuple(after.agg(*mark).first())
         now, path = after, to

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.components import components
+from millrace.operators.components import components, written
 
 #: Seconds between equal titles, share of passages that links, documents that make a passage boilerplate.
 NEAR_SECONDS, OVERLAP, BOILERPLATE = 2.0, 0.25, 50
@@ -33,12 +33,12 @@ def band_links(docs: DataFrame, doc: str, key: Column, value: str, width: float
 
 
 def overlap_pairs(passages: DataFrame, doc: str, hash_: str, least: float = OVERLAP, most_docs: int = BOILERPLATE) -> DataFrame:
-    """(a, b, shared, share): documents that share at least ``least`` of the smaller one's passages.
+    """(a, b, shared, share): documents that share at least ``least`` of the smaller one's passages; see also ``copy_links``.
 
     ``passages`` has (doc, hash), distinct. A passage in over ``most_docs`` documents makes no pairs but counts in
     the sizes; that bounds the pairs of a passage.
     """
-    own = passages.select(F.col(doc).alias("d"), F.col(hash_).alias("h"))
+    own = written(passages.select(F.col(doc).alias("d"), F.col(hash_).alias("h")), "passages")[0]  # read five times below
     sizes = own.groupBy("d").agg(F.count("*").alias("size"))
     telling = own.groupBy("h").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= most_docs)).select("h")
     few = own.join(telling, "h")
@@ -47,6 +47,24 @@ def overlap_pairs(passages: DataFrame, doc: str, hash_: str, least: float = OVER
     return pairs.withColumn("share", F.col("shared") / F.least("size_a", "size_b")).where(F.col("share") >= least).select("a", "b", "shared", "share")
 
 
+def copy_links(passages: DataFrame, doc: str, hash_: str) -> DataFrame:
+    """(u, v): documents with equal sets of passages linked to the least of them, whatever their number.
+
+    It joins what ``overlap_pairs`` passes over where many copies make all their passages boilerplate. Equal sets are told
+    by their size and two sums of hashes.
+    """
+    sums = [F.sum(F.xxhash64(hash_, F.lit(seed)).cast("decimal(38,0)")).alias(f"sum {seed}") for seed in (0, 1)]
+    sets = passages.groupBy(F.col(doc).alias("u")).agg(F.count("*").alias("size"), *sums)
+    first = sets.groupBy("size", "sum 0", "sum 1").agg(F.min("u").alias("v"))
+    return sets.join(first, ["size", "sum 0", "sum 1"]).where("u <> v").select("u", "v")
+
+
+def set_links(docs: DataFrame, doc: str, names: Column) -> DataFrame:
+    """(u, v): documents linked to the first one that shares a name with them; ``names`` is an array, empty names link nothing."""
+    named = docs.select(F.col(doc), F.explode(F.array_distinct(names)).alias("name"))
+    return key_links(named, doc, F.col("name"))
+
+
 def groups(docs: DataFrame, doc: str, *links: DataFrame) -> DataFrame:
     """(doc, root): the least document of each group that the links join; a document without links is its own root."""
     all_links = links[0]

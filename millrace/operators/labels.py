@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from millrace.functions import text as X
+from millrace.functions.names import fresh
 
 LABEL = StructType([StructField("answer", StringType()), StructField("evidence", ArrayType(LongType())), StructField("summary", StringType()), StructField("confidence", DoubleType())])
 
@@ -76,10 +77,14 @@ def fill_template(template: str, values: dict[str, Column]) -> Column:
 
 
 def upsert_by_rank(cache: DataFrame, update: DataFrame, key: str, rank: Column) -> DataFrame:
-    """One row for each key: the one of least rank, the update's on a tie. ``rank`` is over the cache's columns."""
-    both = cache.withColumn("_new", F.lit(0)).unionByName(update.select(*cache.columns).withColumn("_new", F.lit(1)))
-    w = Window.partitionBy(key).orderBy(rank, F.desc("_new"))
-    return both.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place", "_new")
+    """One row for each key: the one of least rank, the update's on a tie, then the first by its text as JSON.
+
+    ``rank`` is over the cache's columns.
+    """
+    new, place = fresh("new", cache), fresh("place", cache)
+    both = cache.withColumn(new, F.lit(0)).unionByName(update.select(*cache.columns).withColumn(new, F.lit(1)))
+    w = Window.partitionBy(key).orderBy(rank, F.desc(new), F.to_json(F.struct(*cache.columns)))
+    return both.withColumn(place, F.row_number().over(w)).where(F.col(place) == 1).drop(place, new)
 
 
 def truncate_head(lines: DataFrame, doc: str, order: str, line: str, frame: Column, budget: int, count: Column) -> DataFrame:
@@ -112,11 +117,12 @@ def same_question_pairs(one: DataFrame, two: DataFrame, key: str = "id") -> Data
 
 def cited_window(turns: DataFrame, doc: str, order: str, role: str, head: int = 80, tail: int = 20, first_of_rest: int = 2) -> DataFrame:
     """Turns of a document's start and end, and the first turns of speakers that neither shows."""
-    w = Window.partitionBy(doc).orderBy(order)
-    t = turns.withColumn("_at", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy(doc)))
-    t = t.withColumn("_in", (F.col("_at") <= head) | (F.col("_at") > F.col("_n") - tail))
-    t = t.withColumn("_seen", F.max(F.col("_in")).over(Window.partitionBy(doc, role))).withColumn("_own", F.row_number().over(Window.partitionBy(doc, role).orderBy(order)))
-    return t.where(F.col("_in") | (~F.col("_seen") & (F.col("_own") <= first_of_rest))).select(*turns.columns)
+    at, n, shown, seen, own = (fresh(x, turns) for x in ("at", "n", "in", "seen", "own"))
+    ties = [order, *[c for c in turns.columns if c != order]]  # turns of one place go by their other columns
+    t = turns.withColumn(at, F.row_number().over(Window.partitionBy(doc).orderBy(*ties))).withColumn(n, F.count("*").over(Window.partitionBy(doc)))
+    t = t.withColumn(shown, (F.col(at) <= head) | (F.col(at) > F.col(n) - tail))
+    t = t.withColumn(seen, F.max(F.col(shown)).over(Window.partitionBy(doc, role))).withColumn(own, F.row_number().over(Window.partitionBy(doc, role).orderBy(*ties)))
+    return t.where(F.col(shown) | (~F.col(seen) & (F.col(own) <= first_of_rest))).select(*turns.columns)
 
 
 def distribution_table(pairs: DataFrame, keys: list[str], ref: str, hyp: str, fillers: tuple[str, ...] = ("um", "uh", "er")) -> DataFrame:

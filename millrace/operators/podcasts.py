@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.names import fresh
+
+#: Codes that make rows of one case.
+MOST_CODES = 1000
+
 
 def spoken_turns(turns: DataFrame, episodes: DataFrame | None = None, least_turns: int = 20, speakers: tuple[int, int] = (2, 7), boiler_tokens: int = 15, boiler_episodes: int = 3) -> DataFrame:
     """Turns of the episodes that qualify, without boilerplate, with n_speakers and the episode's columns.
@@ -47,11 +52,21 @@ def rebuild_meetings(items: DataFrame, uid: str, order: str, transcript: str, su
 
 
 def label_rows(cases: DataFrame, labels: str, codes: DataFrame, code: str, held_out: str, benchmark: Column) -> DataFrame:
-    """One yes/no row for each case and code; held-out codes only on the benchmark. ``codes`` is a dimension table."""
-    return cases.crossJoin(F.broadcast(codes.select(code, held_out))).withColumn("positive", F.array_contains(labels, F.col(code))).where(benchmark | ~F.col(held_out))
+    """One yes/no row for each case and code; held-out codes only on the benchmark.
+
+    ``codes`` is a dimension table of at most ``MOST_CODES`` rows, which becomes an array in each case's row; a longer
+    one is an error. Null labels have no positive code.
+    """
+    found = codes.select(F.col(code).alias("code"), F.col(held_out).alias("held")).limit(MOST_CODES + 1).collect()
+    if len(found) > MOST_CODES:
+        raise ValueError(f"more than {MOST_CODES} codes")
+    kind = codes.schema[code].dataType.simpleString()
+    all_codes = F.array(*[F.struct(F.lit(r.code).cast(kind).alias("code"), F.lit(r.held).alias("held")) for r in found]) if found else F.array().cast(f"array<struct<code:{kind},held:boolean>>")
+    rows = cases.withColumn(x := fresh("code", cases), F.explode(all_codes)).withColumn(code, F.col(f"{x}.code")).withColumn(held_out, F.col(f"{x}.held")).drop(x)
+    return rows.withColumn("positive", F.array_contains(labels, F.col(code))).where(benchmark | ~F.col(held_out))
 
 
 def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The last row of each key by the given columns."""
-    best = F.max_by(F.struct(*rows.columns), F.struct(*order))
+    """The last row of each key by the given columns; rows equal in them go by their text as JSON, the last one stays."""
+    best = F.max_by(F.struct(*rows.columns), F.struct(*order, F.to_json(F.struct(*rows.columns))))
     return rows.groupBy(F.col(key).alias("_key")).agg(best.alias("r")).select("r.*")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.names import fresh
 from millrace.operators.ranks import seeded_hash
 
 
@@ -18,7 +19,7 @@ def best_draw(groups: DataFrame, group: str, stratum: str, n: int, draws: int, s
     tries = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
     named = groups.select(group, stratum, tries)
     order = Window.partitionBy("draw").orderBy(F.sha1(F.concat_ws("|", F.lit(str(seed)), "draw", group).cast("binary")), group)
-    taken = named.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= n)
+    taken = named.withColumn(place := fresh("place", groups), F.row_number().over(order)).where(F.col(place) <= n).drop(place)
     cells = whole.select(stratum, "share", tries)
     counts = taken.groupBy("draw", stratum).agg(F.count("*").alias("k"))
     gap = cells.join(counts, ["draw", stratum], "left").groupBy("draw").agg(F.sum(F.abs(F.coalesce("k", F.lit(0)) / n - F.col("share"))).alias("gap"))
@@ -32,9 +33,10 @@ def quota_draw(rows: DataFrame, item: str, stratum: str, podcast: str, quotas: D
     The cap is applied first, by hash order, so the result does not depend on the order of strata; where a podcast
     spans strata this can differ from a one-pass greedy scan, which no distributed plan can follow.
     """
-    capped = rows.withColumn("_own", F.row_number().over(Window.partitionBy(podcast).orderBy(seeded_hash(seed, item), item))).where(F.col("_own") <= cap)
-    placed = capped.withColumn("_place", F.row_number().over(Window.partitionBy(stratum).orderBy(seeded_hash(seed, item), item)))
-    return placed.join(quotas.select(stratum, F.col("quota").alias("_quota")), stratum).where(F.col("_place") <= F.col("_quota")).drop("_own", "_place", "_quota")
+    own, place, most = (fresh(x, rows) for x in ("own", "place", "quota"))
+    capped = rows.withColumn(own, F.row_number().over(Window.partitionBy(podcast).orderBy(seeded_hash(seed, item), item))).where(F.col(own) <= cap)
+    placed = capped.withColumn(place, F.row_number().over(Window.partitionBy(stratum).orderBy(seeded_hash(seed, item), item)))
+    return placed.join(quotas.select(stratum, F.col("quota").alias(most)), stratum).where(F.col(place) <= F.col(most)).drop(own, place, most)
 
 
 def straddles(assigned: DataFrame, group: str, side: str) -> DataFrame:

@@ -237,6 +237,39 @@ def j13_untainted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.untainted(_groups(spark, sf_dir), "doc_id", d.where("doc_id % 10 = 0"), table(spark, sf_dir, "labels"))
 
 
+_LINKS = f"""{_PASSAGES}, {_PAIRS}, {_TITLES}, n AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'f' || (doc_id // 40)::VARCHAR END AS feed, CASE WHEN doc_id % 7 = 0 THEN 'The ' || left(source, 4) || ' (' || lang || ') ' || (doc_id // 90)::VARCHAR || ' Podcast' ELSE '' END AS title_,
+  CASE WHEN doc_id % 13 = 0 THEN ['Ann Lee ' || chr((97 + doc_id // 100 % 26)::INTEGER), 'Solo'] ELSE [] END AS hosts, CASE WHEN doc_id % 17 = 0 THEN ['studio ' || (doc_id // 130)::VARCHAR] ELSE [] END AS owners FROM documents),
+ky AS (SELECT doc_id, 'feed|' || feed AS k FROM n WHERE feed IS NOT NULL UNION ALL SELECT doc_id, 'show|' || trim(regexp_replace(lower(title_), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) FROM n WHERE title_ <> ''
+  UNION ALL SELECT doc_id, 'host|' || lower(unnest(list_filter(hosts, lambda h: contains(h, ' ')))) FROM n UNION ALL SELECT doc_id, 'owner|' || unnest(owners) FROM n),
+ps AS (SELECT doc_id, list_sort(list(h)) AS hs FROM p GROUP BY doc_id),
+e AS (SELECT a AS u, b AS v FROM o UNION SELECT a.doc_id, b.doc_id FROM t a JOIN t b USING (k) WHERE a.doc_id <> b.doc_id AND abs(a.x - b.x) <= 2 UNION SELECT a.doc_id, b.doc_id FROM ky a JOIN ky b USING (k) WHERE a.doc_id <> b.doc_id
+  UNION SELECT a.doc_id, b.doc_id FROM ps a JOIN ps b USING (hs) WHERE a.doc_id <> b.doc_id),
+sl AS (SELECT u, v FROM e UNION SELECT v, u FROM e), rl(u, v) AS (SELECT doc_id, doc_id FROM documents UNION SELECT rl.u, sl.v FROM rl JOIN sl ON sl.u = rl.v)"""
+
+
+@query("j9_six_links", f"WITH RECURSIVE {_LINKS} SELECT u AS doc_id, min(v) AS root FROM rl GROUP BY u")
+def j9_six_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents by feed, show, title and near length, host, owner and shared passages.
+
+    Feeds, shows, hosts and owners are derived from ids. Documents with one set of passages are linked whatever their number.
+    """
+    i = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").withColumn("x", F.col("n_chars").cast("double"))
+    feed = F.when(i % 10 == 0, F.concat(F.lit("f"), F.floor(i / 40)))
+    show = F.when(i % 7 == 0, F.concat(F.lit("The "), F.left("source", F.lit(4)), F.lit(" ("), "lang", F.lit(") "), F.floor(i / 90), F.lit(" Podcast")))
+    none = F.array().cast("array<string>")
+    hosts = F.when(i % 13 == 0, F.array(F.concat(F.lit("Ann Lee "), F.char(97 + F.floor(i / 100) % 26)), F.lit("Solo"))).otherwise(none)
+    owners = F.when(i % 17 == 0, F.array(F.concat(F.lit("studio "), F.floor(i / 130)))).otherwise(none)
+    passages = _md5_passages(spark, sf_dir)
+    overlap = grouping.overlap_pairs(passages, "doc_id", "h").select(F.col("b").alias("u"), F.col("a").alias("v"))
+    named = lambda kind, c: F.concat(F.lit(kind), F.nullif(c, F.lit("")))
+    return grouping.groups(
+        d, "doc_id", grouping.key_links(d, "doc_id", named("feed|", feed)), grouping.key_links(d, "doc_id", named("show|", X.normal_title(show))),
+        grouping.band_links(d, "doc_id", X.normal_title(F.left("text", F.lit(30))), "x"), grouping.set_links(d, "doc_id", F.transform(hosts, X.normal_name)), grouping.set_links(d, "doc_id", owners),
+        overlap, grouping.copy_links(passages, "doc_id", "h"),
+    )
+
+
 @query("m17_token_windows", r"""
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents)
 SELECT doc_id, len(range(0, len(w) - 100, 200)) AS windows FROM w""")

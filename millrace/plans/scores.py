@@ -253,6 +253,13 @@ def f7_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.complete(p, "source", "question", p)
 
 
+@query("f7_complete_languages", f"WITH {_PAIRS} SELECT lang FROM (SELECT DISTINCT lang, question FROM scored) GROUP BY lang HAVING count(*) = (SELECT count(DISTINCT question) FROM scored)")
+def f7_complete_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages with a label on every question."""
+    p = _pairs(spark, sf_dir)
+    return splits.complete(p, "lang", "question", p)
+
+
 @query("ps8_sides", f"""
 WITH {_PAIRS}, sd AS (SELECT DISTINCT source, CASE WHEN source IN ('src1', 'src2') THEN 'benchmark' WHEN source = 'src3' THEN 'val' ELSE 'train' END AS side FROM scored)
 SELECT CASE WHEN side <> 'benchmark' AND question = 'q5' THEN 'drop' ELSE side END AS side, CASE WHEN side = 'benchmark' THEN CASE WHEN question = 'q5' THEN 'unseen_q' ELSE 'seen_q' END END AS cell, count(*) AS n

@@ -113,10 +113,15 @@ def write_sides(records: DataFrame, path: str, side: str, doc: str, lines: str,
 
 
 def append_new(ledger: str, rows: DataFrame, key: str) -> int:
-    """Append the rows whose key the ledger lacks, one for each key; how many. Spark's commit leaves no torn rows."""
+    """Append the rows whose key the ledger lacks, one for each key; how many. Spark's commit leaves no torn rows.
+
+    Of several rows with a key the first by its text as JSON is taken, so reruns agree. Rows without a key have no
+    identity and are not taken.
+    """
     spark = rows.sparkSession
     p = spark._jvm.org.apache.hadoop.fs.Path(ledger)
-    fresh = rows.dropDuplicates([key])
+    first = F.min_by(F.struct(*rows.columns), F.to_json(F.struct(*rows.columns)))
+    fresh = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("ledger_key")).agg(first.alias("ledger_row")).select("ledger_row.*")
     if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         fresh = fresh.join(spark.read.parquet(ledger).select(key), key, "left_anti")
     fresh = fresh.cache()
