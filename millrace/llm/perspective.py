@@ -25,18 +25,20 @@ def perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     row). ``spans`` are [start, end) in code points of ``rendered``: the assistant's texts with their end mark.
 
     A part holds the turns whose number is in one interval of ``part`` numbers, ordered by turn, role and
-    text; concatenating a view's parts by (part, slot) gives the whole dialogue. Equal rows are one
-    turn. Null texts count as empty, null roles as "unknown"; null turns form the last part (null). An interval
+    text; concatenating a view's parts by (part, slot) gives the whole dialogue. Equal rows are all
+    kept. Null texts count as empty, null roles as "unknown"; null turns form the last part (null). An interval
     with more than ``part`` turns, which only repeated or null numbers can cause, is dealt over several
-    slots by a hash of role and text. Null dialogue ids form one dialogue. An empty table gives no rows.
+    slots by a hash of role, text and the number of a copy. Null dialogue ids form one dialogue. An empty table gives no rows.
     """
     rows = turns.select(
         F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit(NOBODY)).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    ).distinct()
-    rows = rows.withColumn("part", F.floor(F.col("turn") / part))
-    full = rows.groupBy("conv", "part").agg(F.count("*").alias("n")).where(F.col("n") > part).select(F.col("conv").alias("c"), F.col("part").alias("p"), F.ceil(F.col("n") / part).alias("slots"))
+    )
+    # Copies of a turn are counted before they are dealt, so that a hot one is one row in the shuffle.
+    rows = rows.groupBy("conv", "turn", "role", "text").agg(F.count("*").alias("copies")).withColumn("part", F.floor(F.col("turn") / part))
+    full = rows.groupBy("conv", "part").agg(F.sum("copies").alias("n")).where(F.col("n") > part).select(F.col("conv").alias("c"), F.col("part").alias("p"), F.ceil(F.col("n") / part).alias("slots"))
     rows = rows.join(full, rows["conv"].eqNullSafe(full["c"]) & rows["part"].eqNullSafe(full["p"]), "left")
-    rows = rows.withColumn("slot", F.pmod(F.xxhash64("role", "text"), F.coalesce("slots", F.lit(1)))).drop("c", "p", "slots")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    rows = rows.withColumn("slot", F.pmod(F.xxhash64("role", "text", "copy"), F.coalesce("slots", F.lit(1)))).drop("c", "p", "slots", "copy", "copies")
     speakers = rows.where(F.col("role") != CONTEXT).select(F.col("conv").alias("c"), F.col("role").alias("speaker")).distinct()
     views = rows.join(speakers, rows["conv"].eqNullSafe(speakers["c"]))
     mine = F.col("role") == F.col("speaker")

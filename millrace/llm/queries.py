@@ -39,7 +39,7 @@ def op1_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SQL["op1_perspectives"] = """
 WITH t AS (
-  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
 ), p AS (
   SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'
 ), x AS (

@@ -4,7 +4,7 @@ from millrace.llm import perspective
 
 
 def _brute(rows, part=256):
-    turns = {(c, t, r or "unknown", x or "") for c, t, r, x in rows}
+    turns = [(c, t, r or "unknown", x or "") for c, t, r, x in rows]
     out = []
     for conv in {t[0] for t in turns}:
         own = sorted((t for t in turns if t[0] == conv), key=lambda t: (t[1] is None, t[1] or 0, t[2], t[3].encode()))
@@ -57,3 +57,10 @@ def test_overfull_intervals_are_dealt_out(spark):
     assert sum(r.n_turns for r in got) == 130 and max(r.n_turns for r in got) < 40
     assert len({(r.part, r.slot) for r in got}) == len(got) > 5
     assert sum(len(r.spans) for r in got) == 90
+
+
+def test_copies_of_a_turn_stay_and_are_dealt_out(spark):
+    rows = [(1, 1, "ann", "same")] * 100 + [(1, 2, "bob", "b")]
+    got = _got(spark, rows, part=16).where("speaker = 'ann'").collect()
+    assert sum(r.n_turns for r in got) == 101 and max(r.n_turns for r in got) < 40
+    assert sum(len(r.spans) for r in got) == 100
