@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.names import fresh
+from millrace.operators.ranks import numbered
 
 #: Codes that make rows of one case.
 MOST_CODES = 1000
@@ -40,15 +41,17 @@ def funnel(rows: DataFrame, steps: list[tuple[str, Column]]) -> DataFrame:
     return rows.withColumn("reason", reason)
 
 
-def rebuild_meetings(items: DataFrame, uid: str, order: str, transcript: str, summary: str) -> DataFrame:
-    """(meeting, n_items, text, summary): items of one meeting (first two parts of the uid) in order.
+def rebuild_meetings(items: DataFrame, uid: str, order: str, transcript: str, summary: str, part: int = 64) -> DataFrame:
+    """(meeting, part, n_items, text, summary): items of one meeting (first two parts of the uid) in order.
 
-    Empty transcripts and summaries are left out of the texts; all items count.
+    A part has ``part`` items, so no row grows with a meeting; a meeting's parts in order are the whole of it. Empty
+    transcripts and summaries are left out of the texts; all items count. Null uids are one meeting (null).
     """
-    meeting = F.substring_index(F.col(uid), "_", 2)
-    rows = items.groupBy(meeting.alias("meeting")).agg(F.count("*").alias("n_items"), F.sort_array(F.collect_list(F.struct(order, F.col(transcript).alias("t"), F.col(summary).alias("s")))).alias("rows"))
+    named = items.select(F.substring_index(F.col(uid), "_", 2).alias("meeting"), F.col(order).alias("at"), F.col(transcript).alias("t"), F.col(summary).alias("s"))
+    placed = numbered(named, ["meeting"], "at", "n").withColumn("part", F.floor(F.col("n") / part))
+    rows = placed.groupBy("meeting", "part").agg(F.count("*").alias("n_items"), F.sort_array(F.collect_list(F.struct("at", "n", "t", "s"))).alias("rows"))
     said = lambda f: F.filter(F.transform("rows", lambda x: F.coalesce(x[f], F.lit(""))), lambda x: x != "")
-    return rows.select("meeting", "n_items", F.array_join(said("t"), "\n\n").alias("text"), F.array_join(said("s"), " ||| ").alias("summary"))
+    return rows.select("meeting", "part", "n_items", F.array_join(said("t"), "\n\n").alias("text"), F.array_join(said("s"), " ||| ").alias("summary"))
 
 
 def label_rows(cases: DataFrame, labels: str, codes: DataFrame, code: str, held_out: str, benchmark: Column) -> DataFrame:

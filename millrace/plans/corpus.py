@@ -52,14 +52,18 @@ def a4_lengths_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("a5_rebuilt_meetings", """
-WITH i AS (SELECT source || '_' || lang || '_' || doc_id AS uid, doc_id, CASE WHEN doc_id % 7 = 0 THEN '' ELSE left(text, 40) END AS t, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE right(text, 10) END AS s FROM documents)
-SELECT split_part(uid, '_', 1) || '_' || split_part(uid, '_', 2) AS meeting, count(*) AS n_items, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY doc_id) FILTER (t <> ''), '') AS text,
-  coalesce(string_agg(s, ' ||| ' ORDER BY doc_id) FILTER (s <> ''), '') AS summary FROM i GROUP BY 1""")
+WITH i AS (SELECT source || '_' || lang || '_' || doc_id AS uid, doc_id, CASE WHEN doc_id % 7 = 0 THEN '' ELSE text END AS t, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE source || ' ' || doc_id::VARCHAR END AS s FROM documents),
+n AS (SELECT *, split_part(uid, '_', 1) || '_' || split_part(uid, '_', 2) AS meeting FROM i), k AS (SELECT *, (row_number() OVER (PARTITION BY meeting ORDER BY doc_id) - 1) // 64 AS part FROM n)
+SELECT meeting, part, count(*) AS n_items, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY doc_id) FILTER (t <> ''), '') AS text,
+  coalesce(string_agg(s, ' ||| ' ORDER BY doc_id) FILTER (s <> ''), '') AS summary FROM k GROUP BY meeting, part""")
 def a5_rebuilt_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Meetings from items that share the first two parts of a uid; a source and language stand for a meeting."""
+    """Meetings from items that share the first two parts of a uid; a source and language stand for a meeting.
+
+    A meeting comes in parts of 64 items. Summaries, which the table lacks, are derived from ids.
+    """
     i = table(spark, sf_dir, "documents").select(
-        F.concat_ws("_", "source", "lang", "doc_id").alias("uid"), "doc_id", F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.left("text", F.lit(40))).alias("t"),
-        F.when(F.col("doc_id") % 3 != 0, F.right("text", F.lit(10))).alias("s"),
+        F.concat_ws("_", "source", "lang", "doc_id").alias("uid"), "doc_id", F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("text")).alias("t"),
+        F.when(F.col("doc_id") % 3 != 0, F.concat_ws(" ", "source", "doc_id")).alias("s"),
     )
     return podcasts.rebuild_meetings(i, "uid", "doc_id", "t", "s")
 

@@ -96,7 +96,7 @@ def m1_continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("w3_merged_fragments", f"""
-WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 4 < 3 THEN 'a' ELSE 'b' END AS role, CASE WHEN conv_id % 2 = 0 THEN 'yes (laughs) so' ELSE split_part(text, ' ', 1) END AS said FROM conversations),
+WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 4 < 3 THEN 'a' ELSE 'b' END AS role, CASE WHEN conv_id % 2 = 0 THEN text || ' (laughs)' ELSE text END AS said FROM conversations),
 n AS (SELECT *, trim(regexp_replace(regexp_replace(said, '[\\[(][^\\])]{{1,40}}[\\])]', ' ', 'g'), '\\s+', ' ', 'g')) AS s FROM c),
 m AS (SELECT *, CASE WHEN role IS NOT DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 0 ELSE 1 END AS fresh FROM n WHERE s <> ''),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS t FROM m),
@@ -105,10 +105,10 @@ k AS (SELECT *, sum(other) OVER (PARTITION BY conv_id, t ORDER BY turn ROWS UNBO
 f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, t, run ORDER BY turn) AS copy FROM k)
 SELECT conv_id, t AS turn, role, string_agg(s, ' ' ORDER BY f.turn) AS said FROM f WHERE copy = 1 OR (copy = 2 AND {words_sql('s')} < 4) GROUP BY conv_id, t, role""")
 def w3_merged_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring fragments of one role as one turn; roles and loops are derived from turn and conversation numbers."""
+    """Neighbouring fragments of one role as one turn; roles and notes are derived from turn and conversation numbers."""
     t = table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", F.when(F.col("turn") % 4 < 3, "a").otherwise("b").alias("role"),
-        F.when(F.col("conv_id") % 2 == 0, "yes (laughs) so").otherwise(F.substring_index("text", " ", 1)).alias("said"),
+        F.when(F.col("conv_id") % 2 == 0, F.concat("text", F.lit(" (laughs)"))).otherwise(F.col("text")).alias("said"),
     )
     return turns.merge_fragments(t, "conv_id", "turn", "role", "said")
 
