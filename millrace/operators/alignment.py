@@ -1,9 +1,8 @@
-"""Word alignment of a reference with recogniser output, the error statistics it gives, and seeded noise from them."""
+"""Word alignment of a reference with recogniser output, and the error statistics it gives."""
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
@@ -17,28 +16,49 @@ REF_SPAN, HYP_SPAN = 4, 6
 EDITS = StructType([StructField("op", StringType()), StructField("ref", StringType()), StructField("hyp", StringType()), StructField("level", StringType())])
 
 
+def _next(row: np.ndarray, i: int, same: np.ndarray) -> np.ndarray:
+    """The costs of row ``i`` from those of the row before; ``same`` says where the row's word equals a word of the other text."""
+    out = np.empty_like(row)
+    out[0] = i
+    out[1:] = np.minimum(row[1:] + 1, row[:-1] + ~same)
+    steps = np.arange(len(row), dtype=row.dtype)
+    return np.minimum.accumulate(out - steps) + steps  # insertions run along the row
+
+
 def edit_script(ref: list[str], hyp: list[str]) -> list[tuple[str, int, int]]:
-    """A least edit script as (op, ref index, hyp index), in order; of equal scripts one that matches as early as it can."""
+    """A least edit script as (op, ref index, hyp index), in order; of equal scripts one that matches as early as it can.
+
+    The table of costs is kept at every ``k``-th row and found again block by block on the way back, so its memory grows
+    with the longer text times the root of the other's length: some 25 MB for two texts of 20,000 words.
+    """
     n, m = len(ref), len(hyp)
     code: dict[str, int] = {}
     r = np.array([code.setdefault(w, len(code)) for w in ref], np.int64)
     h = np.array([code.setdefault(w, len(code)) for w in hyp], np.int64)
-    cost = np.zeros((n + 1, m + 1), np.int32)
-    cost[0] = np.arange(m + 1)
-    steps = np.arange(m + 1)
+    k = max(1, math.isqrt(n))
+    row = np.arange(m + 1, dtype=np.int32)
+    kept = [row]
     for i in range(1, n + 1):
-        row = np.empty(m + 1, np.int32)
-        row[0] = i
-        row[1:] = np.minimum(cost[i - 1, 1:] + 1, cost[i - 1, :-1] + (h != r[i - 1]))
-        cost[i] = np.minimum.accumulate(row - steps) + steps  # insertions run along the row
+        row = _next(row, i, h == r[i - 1])
+        if i % k == 0:
+            kept.append(row)
+    first, block = n + 1, np.zeros((0, m + 1), np.int32)
     out, i, j = [], n, m
     while i or j:
-        if i and j and r[i - 1] == h[j - 1] and cost[i, j] == cost[i - 1, j - 1]:
+        if i and i - 1 < first:  # rows from the kept one at or above the next, down to this one
+            first = (i - 1) // k * k
+            rows = [kept[first // k]]
+            for x in range(first + 1, i + 1):
+                rows.append(_next(rows[-1], x, h == r[x - 1]))
+            block = np.stack(rows)
+        cost = block[i - first] if i else None
+        above = block[i - 1 - first] if i else None
+        if i and j and r[i - 1] == h[j - 1] and cost[j] == above[j - 1]:
             i, j = i - 1, j - 1
-        elif i and j and cost[i, j] == cost[i - 1, j - 1] + 1:
+        elif i and j and cost[j] == above[j - 1] + 1:
             i, j = i - 1, j - 1
             out.append(("replace", i, j))
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
+        elif i and cost[j] == above[j] + 1:
             i -= 1
             out.append(("delete", i, j))
         else:
@@ -48,15 +68,11 @@ def edit_script(ref: list[str], hyp: list[str]) -> list[tuple[str, int, int]]:
 
 
 def spans(script: list[tuple[str, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Runs of touching edits as (ref from, ref to, hyp from, hyp to)."""
-    runs: list[list[int]] = []
-    for op, i, j in script:
-        ri, hj = i + (op != "insert"), j + (op != "delete")
-        if runs and runs[-1][1] == i and runs[-1][3] == j:
-            runs[-1][1], runs[-1][3] = ri, hj
-        else:
-            runs.append([i, ri, j, hj])
-    return [tuple(x) for x in runs]  # type: ignore[misc]
+    """Runs of touching edits as (ref from, ref to, hyp from, hyp to): an edit joins the run that ends where it starts."""
+    starts = [(i, j) for _, i, j in script]
+    ends = [(i + (op != "insert"), j + (op != "delete")) for op, i, j in script]
+    heads = [k for k in range(len(script)) if not k or ends[k - 1] != starts[k]]
+    return [(starts[a][0], ends[b - 1][0], starts[a][1], ends[b - 1][1]) for a, b in zip(heads, [*heads[1:], len(script)])]
 
 
 def _events(ref: list[str], hyp: list[str]) -> list[tuple[str, str | None, str | None, str]]:
@@ -88,46 +104,3 @@ def error_rates(pairs: DataFrame, keys: list[str], ref: str = "ref", hyp: str =
     sums = rows.groupBy(*keys).agg(F.count("*").alias("n_files"), F.sum("r").alias("n_ref"), F.sum("h").alias("n_hyp"), count("replace").alias("s"), count("delete").alias("d"), count("insert").alias("i"))
     rate = lambda c: F.when(F.col("n_ref") > 0, F.bround(c / F.col("n_ref"), 4)).otherwise(0.0)
     return sums.select(*keys, "n_files", "n_ref", "n_hyp", rate(F.col("s") + F.col("d") + F.col("i")).alias("wer"), rate(F.col("s")).alias("sub_rate"), rate(F.col("d")).alias("del_rate"), rate(F.col("i")).alias("ins_rate"))
-
-
-def add_noise(docs: DataFrame, doc: str, words: str, counts: DataFrame, seed: int, scale: float = 1.0, most_spans: int = 50_000) -> DataFrame:
-    """(doc, noisy): words with spans replaced as often as the counted edits say, longest span first.
-
-    The artefact is the ``most_spans`` most frequent span edits, a bounded table that is broadcast. The draw of a
-    word depends on the seed, the document and the position, not on partitions.
-    """
-    spark = docs.sparkSession
-    edits = counts.where("op = 'span' AND ref IS NOT NULL").groupBy("ref", "hyp").agg(F.sum("n").alias("n"))
-    rows = edits.orderBy(F.desc("n"), "ref", F.asc_nulls_first("hyp")).limit(most_spans).collect()
-    involved = dict(counts.where("op = 'involved'").groupBy("ref").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "ref").limit(most_spans).collect())
-    table: dict[str, list[tuple[str, int]]] = {}
-    for r in rows:
-        table.setdefault(r.ref, []).append((r.hyp or "", r.n))
-    shared = spark.sparkContext.broadcast((table, involved))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        options, often = shared.value
-        for batch in batches:
-            out = []
-            for key, ws in zip(batch[doc], batch[words]):
-                rng = np.random.default_rng(int.from_bytes(hashlib.sha1(f"{seed}|{key}".encode()).digest()[:8], "big"))
-                done, i = [], 0
-                ws = list(ws)
-                while i < len(ws):
-                    for n in range(min(REF_SPAN, len(ws) - i), 0, -1):
-                        span = " ".join(ws[i : i + n])
-                        found = options.get(span)
-                        if found:
-                            total = sum(c for _, c in found)
-                            if rng.random() < scale * total / (total + often.get(ws[i], 0) + 1):
-                                pick = rng.choice(len(found), p=[c / total for _, c in found])
-                                done += found[pick][0].split()
-                                i += n
-                                break
-                    else:
-                        done.append(ws[i])
-                        i += 1
-                out.append(" ".join(done))
-            yield pd.DataFrame({doc: batch[doc], "noisy": out})
-
-    return docs.select(doc, words).mapInPandas(run, f"{doc} {docs.schema[doc].dataType.simpleString()}, noisy string")

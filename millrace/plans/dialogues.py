@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.catalog import query
 from millrace.functions import text as X
-from millrace.operators import alignment, intervals, ranks, splits, turns
+from millrace.operators import alignment, channel, intervals, ranks, splits, turns
 from millrace.operators import podcasts
 from millrace.plans.tables import ranks_sql, share_sql, table, words_sql
 
@@ -213,6 +213,23 @@ def a21_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p2_noise")
 def p2_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of conversations with seeded errors of the counted kind."""
-    pairs = _pairs(spark, sf_dir).withColumn("key", F.concat_ws("-", "conv_id", "turn"))
-    return alignment.add_noise(pairs, "key", "ref", alignment.alignment_counts(pairs, ["role"]), seed=11)
+    """Turns of conversations with seeded errors of the fitted kind; tests hold it against a plain loop."""
+    pairs = _pairs(spark, sf_dir).withColumn("key", F.concat_ws("-", "conv_id", "turn", "role"))
+    made = channel.noise(pairs, "key", "ref", channel.fit(pairs), seed=11)
+    return made.select("key", F.array_join("noisy", " ").alias("noisy"))
+
+
+@query("p3_neighbours")
+def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest word of the conversations for each word of the benchmark; tests hold it against a plain search."""
+    said = table(spark, sf_dir, "conversations").select(F.explode(X.alignment_words("text")).alias("word"))
+    asked = table(spark, sf_dir, "benchmark").select(F.explode(X.alignment_words("text")).alias("word"))
+    return channel.neighbours(asked, said)
+
+
+@query("p4_calibration")
+def p4_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fitted error rate and the factor with which noise makes it."""
+    pairs = _pairs(spark, sf_dir).withColumn("key", F.concat_ws("-", "conv_id", "turn", "role"))
+    fitted = channel.fit(pairs)
+    return spark.createDataFrame([(fitted.wer, channel.calibrated(fitted, pairs, "key", "ref", 3))], "wer double, factor double")

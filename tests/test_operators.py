@@ -147,13 +147,6 @@ def test_edit_distance_is_least():
         assert made + a[at:] == b
 
 
-def test_noise_is_seeded(spark):
-    df = spark.createDataFrame([(i, [f"w{i % 3}", "b", "c"]) for i in range(50)], "id int, ws array<string>")
-    counts = spark.createDataFrame([("k", "span", "b", "bee", 9), ("k", "involved", "b", None, 9)], "k string, op string, ref string, hyp string, n long")
-    one, two = ({r.id: r.noisy for r in alignment.add_noise(df.repartition(n), "id", "ws", counts, 5).collect()} for n in (1, 3))
-    assert one == two and 0 < sum("bee" in t for t in one.values()) < 50
-
-
 def test_nearest_turn(spark):
     words = spark.createDataFrame([("k", w, s, e) for w, s, e in (("a", 0.0, 1.0), ("gap-early", 2.0, 2.4), ("gap-late", 3.2, 3.8), ("b", 4.0, 5.0), ("c", 9.5, 9.9), ("tie", 2.5, 3.5))], "key string, w string, start double, end double")
     t = spark.createDataFrame([("k", 1, 0.5, 2.0), ("k", 2, 4.0, 5.0)], "key string, turn long, start double, end double")
