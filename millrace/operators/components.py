@@ -6,15 +6,20 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession) -> str:
+    """The shared folder for scratch tables that the cluster names; a folder of this machine where none is named."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "millrace-scratch")
+    return f"{root.rstrip('/')}/millrace"
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """A table in the shared folder that the cluster names, and its path; a folder of this machine where none is named."""
+    """A table in the shared folder, and its path."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "millrace-scratch")
-    path = f"{root.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -65,6 +65,34 @@ def target_json(answer: Column, evidence: Column, summary: Column) -> Column:
     return F.concat(F.lit('{"answer": '), plain(answer), F.lit(', "evidence": ['), F.array_join(evidence.cast("array<string>"), ", "), F.lit('], "summary": '), plain(summary), F.lit("}"))
 
 
+def target_text(evidence: Column, answer: Column, summary: Column, tags: Column | None = None) -> Column:
+    """The target of a question: evidence, answer and summary in this order, and tags where the question has any.
+
+    ``tags`` is null for a question without tags. A space follows every comma and colon, and letters stay as they are.
+    """
+    quote = lambda c: F.regexp_replace(F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"}), r"(?s)^\{\"v\":(.*)\}$", "$1")
+    numbers = F.array_join(evidence.cast("array<string>"), ", ")
+    body = F.concat(F.lit('{"evidence": ['), numbers, F.lit('], "answer": '), quote(answer), F.lit(', "summary": '), quote(summary))
+    if tags is not None:
+        body = F.concat(body, F.coalesce(F.concat(F.lit(', "tags": ['), F.array_join(F.transform(tags, quote), ", "), F.lit("]")), F.lit("")))
+    return F.concat(body, F.lit("}"))
+
+
+def task_prompt(template: str, lines: Column, speakers: Column, question: Column, description: Column, options: Column, tags: Column) -> Column:
+    """A template filled with a question: {speakers}, {transcript}, {question}, {context}, {options}, {tags_rule}, {values}.
+
+    ``options`` are structs of value and criteria; a null or empty description or list of tags adds no text.
+    """
+    parts = {
+        "speakers": F.array_join(speakers, ", "), "transcript": F.array_join(X.numbered(lines), "\n"), "question": question,
+        "context": F.when(F.coalesce(description, F.lit("")) != "", F.concat(F.lit("\nContext: "), description)).otherwise(""),
+        "options": F.array_join(F.transform(options, lambda o: F.concat(F.lit("- "), o["value"], F.lit(": "), o["criteria"])), "\n"),
+        "tags_rule": F.when(F.size(tags) > 0, F.concat(F.lit("\nTags, from this list only (none may apply): "), F.array_join(tags, "; "))).otherwise(""),
+        "values": F.array_join(F.transform(options, lambda o: o["value"]), ", "),
+    }
+    return fill_template(template, parts)
+
+
 def fill_template(template: str, values: dict[str, Column]) -> Column:
     """A template's {names} replaced; a name without a value is an error before any job runs."""
     import re

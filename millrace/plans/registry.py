@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from millrace.plans import benchmark, building, corpus, dialogues, records, scores  # noqa: F401
+from millrace.plans import benchmark, building, corpus, dialogues, records, scores, texts  # noqa: F401

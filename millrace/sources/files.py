@@ -32,21 +32,20 @@ def _ends_with(spark: SparkSession, path: str, line: str) -> bool:
         stream.close()
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: StructType | str, most_cut: int = 1000) -> DataFrame:
+def read_json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Records of line-JSON files under a fixed schema; a cut last line of a file is left out, any other bad line ends the job.
 
-    A first pass finds the bad lines. There may be one for each file that a writer left unfinished, at most ``most_cut``
-    in all; the driver holds them against the last bytes of their files.
+    A first pass finds the bad lines, of which a file that a writer left unfinished may have one. They pass the driver one
+    at a time, which holds each against the last bytes of its file.
     """
     kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     columns = kind.fieldNames()
     reader = spark.read.schema(StructType([*kind.fields, StructField("_bad", StringType())])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
     rows = reader.json(path)
-    bad = rows.withColumn("_file", F.input_file_name()).where("_bad IS NOT NULL").limit(most_cut + 1).collect()
-    per_file = [r["_file"] for r in bad]
-    for r in bad:
-        if len(bad) > most_cut or per_file.count(r["_file"]) > 1 or not _ends_with(spark, r["_file"], r["_bad"]):
-            raise ValueError(f"a bad line in {r['_file']}: {r['_bad'][:80]}")
+    bad = rows.withColumn("_file", F.input_file_name()).where("_bad IS NOT NULL").groupBy("_file").agg(F.count("*").alias("n"), F.min("_bad").alias("line"), F.count(columns[0]).alias("other"))  # Spark wants another column read
+    for r in bad.toLocalIterator():
+        if r["n"] > 1 or not _ends_with(spark, r["_file"], r["line"]):
+            raise ValueError(f"a bad line in {r['_file']}: {r['line'][:80]}")
     return rows.where("_bad IS NULL").select(*columns)
 
 
@@ -146,6 +145,47 @@ def replace_table(df: DataFrame, path: str) -> None:
     fs.delete(gone, True)
 
 
+def publish_table(df: DataFrame, path: str) -> int:
+    """Write a table as the next version under ``path``; readers see it once its marker is there, and the old one before.
+
+    Spark writes the marker last, so a crash leaves the old version in place. Two writers at once need a lock.
+    """
+    version = max(_versions(df.sparkSession, path), default=0) + 1
+    df.write.mode("overwrite").parquet(f"{path}/v{version:08d}")
+    return version
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The latest complete version of a published table; an error if there is none."""
+    done = _versions(spark, path)
+    if not done:
+        raise ValueError(f"no table is published under {path}")
+    return spark.read.parquet(f"{path}/v{max(done):08d}")
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    p = hadoop.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return [int(x.getName()[1:]) for x in found if fs.exists(hadoop.Path(x, "_SUCCESS"))]
+
+
+def template_digest(templates: dict[str, str]) -> str:
+    """A digest of named templates; neither their order nor how they are stored changes it."""
+    h = hashlib.sha1()
+    for name, body in sorted(templates.items()):
+        for part in (name, body):
+            data = part.encode()
+            h.update(len(data).to_bytes(8, "big") + data)
+    return h.hexdigest()
+
+
+def vocabulary_digest(vocabulary: DataFrame, token: str, id_: str) -> str:
+    """A digest of a tokenizer's (token, id) table, whatever its order and partitions."""
+    return content_digest(vocabulary.select(F.col(token).alias("token"), F.col(id_).cast("long").alias("id")), ["token"])
+
+
 def content_digest(df: DataFrame, keys: list[str]) -> str:
     """A digest of a table's rows that order and partitions do not change: sums of row hashes, so nothing is collected."""
     row = F.sha1(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)])).cast("binary"))

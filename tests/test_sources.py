@@ -45,6 +45,22 @@ def test_writers(spark, tmp_path):
     assert files.content_digest(docs, ["id"]) == files.content_digest(docs.repartition(7), ["id"]) != files.content_digest(docs.where("id > 0"), ["id"])
 
 
+def test_published_versions(spark, tmp_path):
+    path = f"{tmp_path}/p"
+    with pytest.raises(ValueError, match="no table"):
+        files.published(spark, path)
+    assert files.publish_table(spark.range(5), path) == 1 and files.publish_table(spark.range(7), path) == 2
+    (tmp_path / "p" / "v00000003").mkdir()  # a writer that did not end
+    assert files.published(spark, path).count() == 7 and files.publish_table(spark.range(2), path) == 3
+
+
+def test_digests_of_templates_and_vocabularies(spark):
+    one = files.template_digest({"a": "x", "b": "yz"})
+    assert one == files.template_digest({"b": "yz", "a": "x"}) != files.template_digest({"a": "xy", "b": "z"})
+    v = spark.createDataFrame([("the", 1), ("a", 2)], "token string, id int")
+    assert files.vocabulary_digest(v, "token", "id") == files.vocabulary_digest(v.orderBy("token").repartition(3), "token", "id") != files.vocabulary_digest(v.where("id = 1"), "token", "id")
+
+
 def test_export_and_packing(spark):
     r = spark.createDataFrame([("p", ("n", 0.1, "acc")), ("nc", ("m", 0.2, "acc"))], "track string, generation_info struct<name:string,cost:double,account:string>")
     out = files.export_release(r, "train", "p", ["cost", "account"]).collect()
