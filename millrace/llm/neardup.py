@@ -79,25 +79,33 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def near(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, bits) of all pairs a < b of positions whose fingerprints are within the radius, closest first."""
+def near(fp: np.ndarray, radius: int, block: int = 256, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b) of all pairs a < b of positions whose fingerprints are within the radius, in blocks, closest first in each.
+
+    A block has ``block`` fingerprints' pairs, ``most`` at a time, so memory does not grow with the square of the positions.
+    """
     distinct, place = np.unique(fp, return_inverse=True)
     one = np.zeros(len(distinct), np.int64)
-    q, n = simhash.Forest(distinct, one).within(distinct, one, radius)
+    forest = simhash.Forest(distinct, one)
     order = np.argsort(place, kind="stable")
     size = np.bincount(place, minlength=len(distinct))
     start = np.cumsum(size) - size
-    q, n = q[q <= n], n[q <= n]
-    times = size[q] * size[n]
-    which = np.repeat(np.arange(len(q)), times)
-    at = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
-    a = order[start[q[which]] + at // size[n[which]]]
-    b = order[start[n[which]] + at % size[n[which]]]
-    keep = (a < b) | ((q[which] != n[which]) & (a != b))
-    a, b = np.minimum(a, b)[keep], np.maximum(a, b)[keep]
-    bits = np.bitwise_count(fp[a] ^ fp[b])
-    by = np.argsort(bits, kind="stable")
-    return a[by], b[by], bits[by]
+    for at in range(0, len(distinct), block):
+        q, n = forest.within(distinct[at : at + block], one[at : at + block], radius)
+        q = q + at
+        q, n = q[q <= n], n[q <= n]
+        times = size[q] * size[n]
+        ends = np.cumsum(times)
+        for low in range(0, int(ends[-1]) if len(ends) else 0, most):
+            spot = np.arange(low, min(low + most, int(ends[-1])))
+            which = np.searchsorted(ends, spot, "right")
+            rest = spot - (ends - times)[which]
+            a = order[start[q[which]] + rest // size[n[which]]]
+            b = order[start[n[which]] + rest % size[n[which]]]
+            keep = (a < b) | ((q[which] != n[which]) & (a != b))
+            a, b = np.minimum(a, b)[keep], np.maximum(a, b)[keep]
+            by = np.argsort(np.bitwise_count(fp[a] ^ fp[b]), kind="stable")
+            yield a[by], b[by]
 
 
 def _checked(radius: int, least: float):
@@ -105,10 +113,8 @@ def _checked(radius: int, least: float):
         nodes, own = table["node"].to_numpy(), table["own"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in table["members"].to_pylist()]
         size = np.array([len(s) for s in sets])
-        a, b, _ = near(table["fp"].to_numpy().view(np.uint64), radius)
-        # Two parts meet here: pairs inside a part are another unit's. Sizes too far apart can't be similar.
-        keep = (np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b])) & ((own[a] != own[b]) if (own != own[0]).any() else True)
-        top = list(range(len(nodes)))
+        two = (own != own[0]).any()
+        top = np.arange(len(nodes))
 
         def root(i: int) -> int:
             while top[i] != i:
@@ -116,12 +122,20 @@ def _checked(radius: int, least: float):
             return i
 
         u, v = [], []
-        for i, j in zip(a[keep].tolist(), b[keep].tolist()):
-            x, y = root(i), root(j)
-            if x != y and jaccard(sets[i], sets[j]) >= least:
-                top[max(x, y)] = min(x, y)
-                u.append(nodes[i])
-                v.append(nodes[j])
+        for a, b in near(table["fp"].to_numpy().view(np.uint64), radius):
+            # Two parts meet here: pairs inside a part are another unit's. Sizes too far apart can't be similar, and
+            # what is joined needs no check.
+            while ((flat := top[top]) != top).any():
+                top[:] = flat
+            if (top == top[0]).all():
+                break
+            keep = (np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b])) & ((own[a] != own[b]) | (not two)) & (top[a] != top[b])
+            for i, j in zip(a[keep].tolist(), b[keep].tolist()):
+                x, y = root(i), root(j)
+                if x != y and jaccard(sets[i], sets[j]) >= least:
+                    top[max(x, y)] = min(x, y)
+                    u.append(nodes[i])
+                    v.append(nodes[j])
         return pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
