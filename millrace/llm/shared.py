@@ -10,16 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for tables that cut lineage.
+    """This application's folder for tables that cut lineage.
 
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, as in local tests, a folder
-    of this machine is chosen and recorded in the session.
+    A cluster names where it lies in ``spark.checkpoint.dir``. Where that is unset, as in local tests, it is on this
+    machine. ``operators.components.clear_scratch`` removes it once results are written.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), "millrace-scratch")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/") + "/millrace"
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "millrace-scratch")
+    return f"{root.rstrip('/')}/millrace/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -101,3 +101,20 @@ def test_pages(spark):
     df = spark.createDataFrame([(1, page.format('lang="EN"', "the and")), (2, page.format("", "x")), (3, None)], "page_id int, html string")
     assert [r[0] for r in df.select(langid.declared_language("html")).collect()] == ["EN", None, None]
     assert styletree.page_text(page.format("", "only &amp; this")) == "only & this"
+
+
+def test_a_very_long_text(spark, docs):
+    model = langid.fit(docs, sample=100)
+    body = docs.where("lang = 'de' and length(text) > 1000").orderBy("doc_id").first().text
+    df = spark.createDataFrame([(1, body * 2000), (2, body)], "id int, text string")
+    got = langid.identify(df, model, "text", keep=["id"]).orderBy("id").collect()
+    assert got[0].asDict().keys() == {"id", "found"} and [r.found.lang for r in got] == ["de", "de"]
+
+
+def test_accuracy_by_text_alone(spark, docs):
+    """What the text says by itself, fitted on other documents: the declaration is no evidence here."""
+    model = langid.fit(docs.where("doc_id % 2 = 0"), sample=200)
+    found = langid.identify(docs.where("doc_id % 2 = 1"), model, "text", keep=["doc_id", "lang"])
+    right, n = found.agg(F.count_if(F.col("lang") == F.col("found.text_lang")), F.count("*")).first()
+    print(f"text alone: {right} of {n}")
+    assert right / n > 0.97

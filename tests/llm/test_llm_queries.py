@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import tiktoken
+from pyspark.sql import functions as F
 
 from millrace.llm import bytebpe, chunkprint, queries
 from test_simhash import _brute as simhash_brute
@@ -72,6 +73,24 @@ def test_op6(spark):
     assert len(rows) - len(of_docs) == spark.read.parquet(f"{SF}/pages.parquet").count()
 
 
+def test_op6_equals_a_plain_fusion(spark):
+    """The whole query over documents and pages against the fusion in plain Python."""
+    from test_langid import _plain as fused
+
+    from millrace.llm import langid, styletree
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs)
+    rows = docs.select("doc_id", "text", "lang", "source").collect()
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html", langid.declared_language("html").alias("said"), styletree.host_of(F.col("url")).alias("host")).collect()
+    want = {("d", r.doc_id): x for r, x in zip(rows, fused([(r.text, r.lang, r.source) for r in rows], model))}
+    want |= {("p", r.page_id): x for r, x in zip(pages, fused([(styletree.page_text(r.html or ""), (r.said or "").lower().split("-")[0] or None, r.host) for r in pages], model))}
+    got = {("d", r.doc_id) if r.page_id is None else ("p", r.page_id): r for r in _rows(spark, "op6_language_id").collect()}
+    assert got.keys() == want.keys()
+    for k, (lang, posterior, text_lang, rejected) in want.items():
+        assert (got[k].lang, got[k].text_lang, got[k].rejected) == (lang, text_lang, rejected) and abs(got[k].posterior - posterior) < 3e-6
+
+
 def test_op7(spark, docs):
     order = sorted(docs, key=lambda d: -d[0])
     want = {}

@@ -33,3 +33,23 @@ def test_stages(spark, tmp_path):
         assert r.ids == enc.encode_ordinary(texts[r.doc_id]) and r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
     run = corpus_pipeline.run(spark, sf)
     assert run.columns == kept.columns and run.count() > 0
+
+
+def test_odd_documents(spark, tmp_path):
+    """An empty table, nulls in every column, a very long text, repeated rows and columns with the stages' own names."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    long = docs.where("doc_id = 3").selectExpr("900001L AS doc_id", "repeat(concat(text, ' '), 300) AS text", "lang", "source", "n_chars")
+    nulls = spark.createDataFrame([(None, None, None, None, None)] * 2, docs.schema)
+    given = docs.limit(60).unionByName(long).unionByName(nulls).unionByName(docs.limit(3)).selectExpr("*", "1 AS fp", "'x' AS mix", "2 AS ids", "'y' AS host")
+    for start in (docs.where("false"), given):
+        kept = start
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, kept, sf)
+            path = f"{tmp_path}/{name}-{start is given}"
+            out.write.parquet(path)
+            kept = spark.read.parquet(path)
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert kept.columns == start.columns
+        assert (kept.count() > 20) == (start is given)
+    assert kept.where("n_tokens = 0").count() == 0
