@@ -11,9 +11,15 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for scratch tables that the cluster names; a folder of this machine where none is named."""
+    """This application's folder for scratch tables, in the one that the cluster names; on this machine where none is named."""
     root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "millrace-scratch")
-    return f"{root.rstrip('/')}/millrace"
+    return f"{root.rstrip('/')}/millrace/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the application's scratch tables; results that have not been written yet can then not be read."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:

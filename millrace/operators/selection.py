@@ -42,3 +42,22 @@ def quota_draw(rows: DataFrame, item: str, stratum: str, podcast: str, quotas: D
 def straddles(assigned: DataFrame, group: str, side: str) -> DataFrame:
     """(group, sides): groups with documents on more than one side; a split without leaks has none."""
     return assigned.groupBy(group).agg(F.count_distinct(side).alias("sides")).where("sides > 1")
+
+
+def floored_draw(groups: DataFrame, group: str, stratum: str, positives: str, long: str, n: int, draws: int, seed: int, least_positives: int, least_long: int) -> DataFrame:
+    """(group, stratum): as ``best_draw``, of the draws that hold enough positive records and enough groups of the long tail.
+
+    ``positives`` counts a group's positive records, ``long`` says whether it is of the long tail. A draw short of either floor
+    loses to any that is not, and among those by what is missing; then strata's deviation decides, then the draw's number.
+    """
+    whole = groups.groupBy(stratum).agg(F.count("*").alias("c")).withColumn("share", F.col("c") / F.sum("c").over(Window.partitionBy()))  # one row for each stratum
+    tries = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
+    named = groups.select(group, stratum, positives, long, tries)
+    order = Window.partitionBy("draw").orderBy(F.sha1(F.concat_ws("|", F.lit(str(seed)), "draw", group).cast("binary")), group)
+    taken = named.withColumn(place := fresh("place", groups), F.row_number().over(order)).where(F.col(place) <= n).drop(place)
+    missing = F.greatest(F.lit(0), least_positives - F.sum(F.coalesce(F.col(positives), F.lit(0)))) + F.greatest(F.lit(0), least_long - F.count_if(F.coalesce(F.col(long), F.lit(False))))
+    short = taken.groupBy("draw").agg(missing.alias("missing"))
+    counts = taken.groupBy("draw", stratum).agg(F.count("*").alias("k"))
+    gap = whole.select(stratum, "share", tries).join(counts, ["draw", stratum], "left").groupBy("draw").agg(F.round(F.sum(F.abs(F.coalesce("k", F.lit(0)) / n - F.col("share"))), 9).alias("gap"))
+    best = gap.join(short, "draw").orderBy("missing", "gap", "draw").limit(1).select("draw")
+    return taken.join(F.broadcast(best), "draw", "left_semi").select(group, stratum)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.catalog import query
 from millrace.functions import text as X
-from millrace.operators import examples, ranks, reviews, splits, strata
+from millrace.operators import examples, ranks, reviews, selection, splits, strata
 from millrace.plans.corpus import _GROUPS, _groups
 from millrace.plans.scores import PAIRS_SQL, pairs
 from millrace.plans.tables import ranks_sql, share_sql, table, words_sql
@@ -91,6 +91,19 @@ def ps5_ceilings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strata.prompt_ceiling(_docs(spark, sf_dir), ["lang"], "doc_id", F.col("n_words") + 7, 16_384, 700)
 
 
+@query("ps6_floored_draw", """
+WITH g AS (SELECT doc_id // 4 AS grp, min(lang) AS lang, count(*) FILTER (n_chars % 10 = 0) AS pos, max(n_chars) > 4000 AS lng FROM documents GROUP BY 1),
+t AS (SELECT draw, grp, lang, pos, lng FROM g, range(25) d(draw) QUALIFY row_number() OVER (PARTITION BY draw ORDER BY sha1('21|' || draw::VARCHAR || '|' || grp::VARCHAR), grp) <= 12),
+m AS (SELECT draw, greatest(0, 8 - sum(pos)) + greatest(0, 5 - count(*) FILTER (lng)) AS missing FROM t GROUP BY draw), w AS (SELECT lang, count(*) / (SELECT count(*) FROM g)::DOUBLE AS share FROM g GROUP BY lang),
+k AS (SELECT draw, lang, count(*) AS k FROM t GROUP BY ALL), gp AS (SELECT draw, round(sum(abs(coalesce(k, 0) / 12::DOUBLE - share)), 9) AS gap FROM (SELECT draw, lang, share FROM w, range(25) d(draw)) LEFT JOIN k USING (draw, lang) GROUP BY draw),
+b AS (SELECT draw FROM gp JOIN m USING (draw) ORDER BY missing, gap, draw LIMIT 1)
+SELECT grp, lang FROM t JOIN b USING (draw)""")
+def ps6_floored_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve groups of four documents, the best of 25 draws with enough positives and long documents."""
+    g = table(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 4).alias("grp")).agg(F.min("lang").alias("lang"), F.count_if(F.col("n_chars") % 10 == 0).alias("pos"), (F.max("n_chars") > 4000).alias("lng"))
+    return selection.floored_draw(g, "grp", "lang", "pos", "lng", 12, 25, 21, 8, 5)
+
+
 @query("ps7_split", f"""
 WITH RECURSIVE {_GROUPS}, el AS (SELECT doc_id, lang FROM documents JOIN labels USING (doc_id) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY {_hash(6)}, doc_id) <= 5), bn AS (SELECT DISTINCT root FROM gr JOIN el USING (doc_id))
 SELECT doc_id, root, CASE WHEN root IN (SELECT root FROM bn) THEN 'benchmark' WHEN ('0x' || substr({_hash(6, 'root')}, 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.1 THEN 'val' ELSE 'train' END AS side FROM gr""")

@@ -70,4 +70,7 @@ def test_probes(spark):
     assert probes.gate_auc(df, "t", "y", "g", folds=2, features=256) > 0.95
     real, null = probes.shortcut_probe(df, ["n"], "y", "g", folds=2)
     assert real > 0.8 and abs(null - 0.5) < 0.25
+    real, null = probes.opening_probe(df, "t", "y", "g", words=3, folds=2, features=256)
+    assert real > 0.95 and abs(null - 0.5) < 0.25
+    assert probes.opening_probe(df, "t", "y", "g", words=2, folds=2, features=256)[0] < 0.8  # the third word tells
     assert spark.createDataFrame([("abc",)], "t string").select(probes.char_grams(F.col("t")).alias("g")).first().g == [" ab", "abc", "bc ", " abc", "abc ", " abc "]
