@@ -54,7 +54,7 @@ def literal_names(text: pd.Series) -> pd.Series:
 
 
 def clip_evidence(evidence: Column, n_lines: Column) -> Column:
-    """Line numbers that exist, ascending, each once."""
+    """Line numbers that exist, ascending, each once; null evidence stays null."""
     return F.array_sort(F.array_distinct(F.filter(evidence, lambda e: (e >= 1) & (e <= n_lines))))
 
 

@@ -15,7 +15,8 @@ from millrace.operators.components import written
 def nearest_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, n, min, p50, p90, p99, max): elements of the sorted values at floor(p * n), at most the last.
 
-    A value's rank is found from counts of distinct values, so no group is collected.
+    A value's rank is found from counts of distinct values, so no group is collected. Null values do not count; null keys
+    are a group like any other; equal rows all count; an empty table gives no rows.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
     w = Window.partitionBy(*keys).orderBy(value)
@@ -37,7 +38,10 @@ def seeded_hash(seed: int | str, *parts: str) -> Column:
 
 
 def choose_per_key(df: DataFrame, key: str, item: str, k: int, seed: int) -> DataFrame:
-    """The k items of each key with the least seeded hash. A larger k keeps all that a smaller one keeps."""
+    """The k items of each key with the least seeded hash. A larger k keeps all that a smaller one keeps.
+
+    Null keys are a key like any other; equal items tie, and any of them is taken. An empty table stays empty.
+    """
     place, rank = F.row_number().over(Window.partitionBy(key).orderBy(seeded_hash(seed, key, item), item)), fresh("rank", df)
     return df.withColumn(rank, place).where(F.col(rank) <= k).drop(rank)
 
@@ -96,7 +100,10 @@ def chunks(df: DataFrame, stratum: str, item: str, size: int) -> DataFrame:
 
 
 def allocate(cells: DataFrame, n: int, group: list[str], cell: str, count: str) -> DataFrame:
-    """(columns, seats): ``n`` split over a group's cells in proportion to their counts, by largest remainder."""
+    """(columns, seats): ``n`` split over a group's cells in proportion to their counts, by largest remainder, ties to the first cell.
+
+    A group's cells are few and meet in one window. An empty table stays empty.
+    """
     w = Window.partitionBy(*group)
     share = F.lit(n) * F.col(count) / F.sum(count).over(w)
     whole = cells.withColumn("_raw", share).withColumn("seats", F.floor("_raw"))
@@ -124,7 +131,8 @@ def quantile_cuts(df: DataFrame, keys: list[str], value: str, bins: int) -> Data
     ranked = counted.withColumn("upto", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     at = F.floor(F.col("n") * F.col("i") / bins)
     cuts = ranked.where(F.col("v").isNotNull() & (F.col("upto") > at) & (F.col("upto") - F.col("c") <= at)).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("cuts"))
-    return cuts.select(*keys, F.transform("cuts", lambda x: x["v"]).alias("cuts"))
+    whole = F.when(F.size("cuts") == bins - 1, F.transform("cuts", lambda x: x["v"])).otherwise(F.raise_error(F.lit("a cut lies outside its bracket")))
+    return cuts.select(*keys, whole.alias("cuts"))
 
 
 #: Accuracy of the brackets' quantiles, and how far beyond its share a bracket reaches: twice the error.

@@ -12,7 +12,7 @@ def assign_sides(records: DataFrame, split: DataFrame, key: str, held_out: Colum
     """Records with side and cell: benchmark, val or train by the split; a held-out question trains nothing.
 
     On the benchmark a held-out question is cell unseen_q, any other seen_q. Held-out questions elsewhere are dropped;
-    a record whose key the split lacks ends the job.
+    a record whose key the split lacks, or without a key, ends the job. Keys of the split must be unique.
     """
     named = records.join(split.select(key, F.col("side").alias("_side")), key, "left")
     known = F.when(F.col("_side").isNull(), F.raise_error(F.concat(F.lit("the split lacks "), F.col(key).cast("string")))).otherwise(F.col("_side"))
@@ -21,12 +21,15 @@ def assign_sides(records: DataFrame, split: DataFrame, key: str, held_out: Colum
 
 
 def hash_sample(rows: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
-    """Rows whose seeded hash is under the fraction: the same rows in any order, and more of them at a larger fraction."""
+    """Rows whose seeded hash is under the fraction: the same rows in any order, and more of them at a larger fraction.
+
+    Equal keys share their fate, and so do all rows without a key.
+    """
     return rows.where(X.hash_share(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))) < fraction)
 
 
 def complete(answers: DataFrame, key: str, item: str, expected: DataFrame) -> DataFrame:
-    """(key): keys that have every expected item."""
+    """(key): keys that have every expected item. Null items count on neither side; repeats count once."""
     need = expected.select(item).distinct()
     n = need.agg(F.count("*").alias("n"))
     have = answers.select(key, item).distinct().join(need, item, "left_semi").groupBy(key).agg(F.count("*").alias("have"))
@@ -46,7 +49,7 @@ def require_unique(rows: DataFrame, key: str) -> DataFrame:
 
 
 def cut_points(rows: DataFrame, name: str, n: Column, seed: int, *parts: str) -> DataFrame:
-    """Rows with a seeded cut in 1 .. n - 1 (at least 1)."""
+    """Rows with a seeded cut in 1 .. n - 1 (at least 1; so 1 for a length of null, zero or one)."""
     share = X.hash_share(F.concat_ws("|", F.lit(str(seed)), *[F.col(p).cast("string") for p in parts]))
     return rows.withColumn(name, F.greatest(F.lit(1), F.least(n - 1, F.floor(share * n))).cast("int"))
 
