@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.shared import let_go
+
 #: White space as \s in the pattern means it (Unicode White_Space). Fixed values.
 _SPACE = "\t-\r \x85\xa0  -     　"
 #: A word's matches never depend on what stands outside white space plus the run after it.
@@ -346,7 +348,9 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text
                     new.append(pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in found]))
                     new.append(pa.array([hashlib.sha256(x).hexdigest() for x in tool.decode(found)]))
                 yield pa.record_batch(part.columns[:-1] + new, own + made)
-        tool.forget()  # the worker may serve other queries next
+        del tool
+        _CODECS.clear()  # the worker may serve other queries next
+        let_go()
 
     out = given.mapInArrow(run, schema)
     names = [docs.columns[int(c[1:])] for c in own]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from millrace.llm import simhash
-from millrace.llm.shared import stored
+from millrace.llm.shared import let_go, stored
 from millrace.operators.components import components
 
 SHINGLE, LEAST = 5, 0.8
@@ -66,12 +66,14 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [shingles(x) for x in batch.column(1).to_pylist()]
         marks = [[node(s) for s in sets], [fingerprint(s) for s in sets]]
         yield pa.record_batch([batch.column(0), *[pa.array(m, pa.int64()) for m in marks], pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["id", "node", "fp", "bands"])
+    let_go()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingles(x) for x in batch.column(0).to_pylist()]
         yield pa.record_batch([pa.array([node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "members"])
+    let_go()
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -152,6 +154,8 @@ def _checked(radius: int, least: float):
                     held.append(batch.slice(x, y - x))
         if held:
             yield links(pa.Table.from_batches(held))
+        held = []
+        let_go()
 
     return run
 
