@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from millrace.llm import bytebpe, chunkprint, langid, mixing, perspective, shards, simhash, styletree, tokencount, topk
+from millrace.llm import bytebpe, chunkprint, langid, mixing, perspective, resample, shards, simhash, styletree, tokencount, topk
 from millrace.llm.shared import read_table, scratch_path, small_batches
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -220,3 +220,12 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+@_query
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weight and score of every document, and the ranks of those drawn towards ``benchmark``.
+
+    DuckDB's SQL has no crc32, so the query is held against a brute-force version.
+    """
+    return resample.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
