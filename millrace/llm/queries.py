@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from millrace.llm import bytebpe, chunkprint, langid, mixing, perspective, resample, shards, simhash, styletree, tokencount, topk
+from millrace.llm import bytebpe, chunkprint, langid, lexical, mixing, perspective, resample, shards, simhash, styletree, tokencount, topk
 from millrace.llm.shared import read_table, scratch_path, small_batches
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -229,3 +229,35 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     DuckDB's SQL has no crc32, so the query is held against a brute-force version.
     """
     return resample.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest-scoring documents of every benchmark item."""
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+_SQL["op13_ranked_search"] = f"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, {_TERMS} AS ts FROM documents
+), g AS (
+  SELECT count(*) FILTER (len(ts) > 0) AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM d
+), i AS (
+  SELECT item_id, row_number() OVER () AS q, {_TERMS} AS ts FROM benchmark
+), a AS (
+  SELECT q, item_id, term, count(*) AS repeats FROM (SELECT q, item_id, unnest(ts) AS term FROM i) GROUP BY ALL
+), p AS (
+  SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(ts) AS n, unnest(ts) AS term FROM d)
+  WHERE term IN (SELECT term FROM a) GROUP BY ALL
+), f AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, g GROUP BY term, n_docs
+), s AS (
+  SELECT q, item_id, r, doc_id, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM a JOIN p USING (term) JOIN f USING (term), g GROUP BY ALL
+), t AS (
+  SELECT *, (row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id))::INTEGER AS rank FROM s WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM t WHERE rank <= 20
+"""

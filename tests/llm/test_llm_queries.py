@@ -34,7 +34,7 @@ def _plain(v):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "conversations"):
+    for t in ("documents", "embeddings", "pages", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = _rows(spark, name)
     columns = sorted(df.columns)
