@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from millrace.llm import bytebpe, chunkprint, langid, lexical, mixing, perspective, resample, shards, simhash, styletree, tokencount, topk
+from millrace.llm import bytebpe, chunkprint, langid, lexical, lmscore, mixing, perspective, resample, shards, simhash, styletree, tokencount, topk
 from millrace.llm.shared import read_table, scratch_path, small_batches
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -231,6 +231,12 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+@_query
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every whole document by word frequencies and by the attention model."""
+    return lmscore.score(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @_query
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 highest-scoring documents of every benchmark item."""
