@@ -73,21 +73,19 @@ def without_change_marks(text: Column | str) -> Column:
     return F.regexp_replace(_col(text), r"^(>>\s*)+", "")
 
 
-#: Notes in brackets of either kind, of at most forty characters.
-_NOTE = "|".join(rf"\{a}[^\])]{{1,40}}[\])]" for a in "[(")
-
-
 def without_non_speech(text: Column | str) -> Column:
-    """Text without short bracketed notes such as [Applause] or (coughs), white space made single."""
-    pieces = F.split(_col(text), _NOTE)
-    return collapse_space(F.array_join(pieces, " "))
+    """Text without short bracketed notes such as [Applause] or (coughs), white space made single.
+
+    A note is closed by the bracket that belongs to the one that opens it, and has 1 to 40 characters, no bracket among them.
+    """
+    inside = r"[^\[\]()]{1,40}"
+    return collapse_space(F.regexp_replace(_col(text), rf"\({inside}\)|\[{inside}\]", " "))
 
 
 def surface(text: Column | str) -> Column:
-    """Recogniser output with a capital, a capital I and a closing mark."""
-    said = F.regexp_replace(F.trim(_col(text)), r"(?<![\p{L}\p{N}_])i(?![\p{L}\p{N}_])", "I")
-    mark = F.when(F.right(said, F.lit(1)).isin("", ".", "?", "!"), "").otherwise(".")
-    return F.concat(F.upper(F.left(said, F.lit(1))), F.substring(said, 2, 1 << 30), mark)
+    """Recogniser output as written: it ends in a mark, the word i is large, and so is the first letter."""
+    closed = F.regexp_replace(F.trim(_col(text)), r"(?<=[^.?!])\z", ".")
+    return F.regexp_replace(F.overlay(closed, F.upper(F.left(closed, F.lit(1))), 1, 1), r"(?<![\p{L}\p{N}_])i(?![\p{L}\p{N}_])", "I")
 
 
 def sentences(text: Column | str) -> Column:

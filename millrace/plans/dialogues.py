@@ -97,7 +97,7 @@ def m1_continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("w3_merged_fragments", f"""
 WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 4 < 3 THEN 'a' ELSE 'b' END AS role, CASE WHEN conv_id % 2 = 0 THEN text || ' (laughs)' ELSE text END AS said FROM conversations),
-n AS (SELECT *, trim(regexp_replace(regexp_replace(said, '[\\[(][^\\])]{{1,40}}[\\])]', ' ', 'g'), '\\s+', ' ', 'g')) AS s FROM c),
+n AS (SELECT *, trim(regexp_replace(regexp_replace(said, '\\([^\\[\\]()]{{1,40}}\\)|\\[[^\\[\\]()]{{1,40}}\\]', ' ', 'g'), '\\s+', ' ', 'g')) AS s FROM c),
 m AS (SELECT *, CASE WHEN role IS NOT DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 0 ELSE 1 END AS fresh FROM n WHERE s <> ''),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS t FROM m),
 r AS (SELECT *, CASE WHEN s IS NOT DISTINCT FROM lag(s) OVER (PARTITION BY conv_id, t ORDER BY turn) THEN 0 ELSE 1 END AS other FROM g),
@@ -116,7 +116,7 @@ def w3_merged_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("w3_whole_fragments", f"""
 WITH c AS (SELECT conv_id, turn * 4 + k AS turn, CASE WHEN turn % 4 < 3 THEN 'a' ELSE 'b' END AS role, CASE WHEN turn % 3 = 0 THEN text || ' (laughs) so' ELSE text END AS said
   FROM conversations, (VALUES (0), (1), (2)) v(k) WHERE k = 0 OR turn % 5 = 0),
-n AS (SELECT *, trim(regexp_replace(regexp_replace(said, '[\\[(][^\\])]{{1,40}}[\\])]', ' ', 'g'), '\\s+', ' ', 'g')) AS s FROM c),
+n AS (SELECT *, trim(regexp_replace(regexp_replace(said, '\\([^\\[\\]()]{{1,40}}\\)|\\[[^\\[\\]()]{{1,40}}\\]', ' ', 'g'), '\\s+', ' ', 'g')) AS s FROM c),
 m AS (SELECT *, CASE WHEN role IS NOT DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 0 ELSE 1 END AS fresh FROM n WHERE s <> ''),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS t FROM m),
 r AS (SELECT *, CASE WHEN s IS NOT DISTINCT FROM lag(s) OVER (PARTITION BY conv_id, t ORDER BY turn) THEN 0 ELSE 1 END AS other FROM g),

@@ -40,6 +40,8 @@ def test_small_forms(spark):
     assert _one(spark, " Not - Sure ", X.normal_answer("x")) == "not_sure"
     assert _one(spark, "Well (er) my fr~ friend's 'ere; twice!", X.alignment_words("x")) == ["well", "er", "my", "fr", "friend's", "'ere", "twice"]
     assert _one(spark, "then i think i'll row", X.surface("x")) == "Then I think I'll row." and _one(spark, "  ", X.surface("x")) == ""
+    assert _one(spark, "a (b] c [d) e [f (g) h]", X.without_non_speech("x")) == "a (b] c [d) e [f h]" and _one(spark, f"({'n' * 41}) ()", X.without_non_speech("x")) == f"({'n' * 41}) ()"
+    assert _one(spark, "i", X.surface("x")) == "I." and _one(spark, "is it i?", X.surface("x")) == "Is it I?"
     assert _one(spark, ">> >>Hi", X.without_change_marks("x")) == "Hi" and _one(spark, "oars [splash] down (coughs)  now", X.without_non_speech("x")) == "oars down now"
     assert _one(spark, "a: b: c", F.array(X.role_of("x"), X.said_of("x"))) == ["a", "b: c"] and _one(spark, "abc", F.array(X.role_of("x"), X.said_of("x"))) == ["abc", ""]
     assert _one(spark, "[NAME] and [PLACE_1] [X_Y]", X.placeholders("x")) == 2
