@@ -147,6 +147,17 @@ def test_edit_distance_is_least():
         assert made + a[at:] == b
 
 
+def test_nearest_turn_of_a_long_key(spark):
+    """One key with all its turns at the start, and with turns all along: as many words as a quadratic frame would not end."""
+    t = spark.createDataFrame([("a", 0, 0.0, 1.0), ("a", 1, 2.0, 3.0)], "key string, turn int, start double, end double")
+    w = spark.range(60_000).select(F.lit("a").alias("key"), F.col("id").alias("w"), (F.col("id") / 100).alias("start"), (F.col("id") / 100).alias("end"))
+    got = {r.turn: r["count"] for r in intervals.nearest_turn(w, t, "key").groupBy("turn").count().collect()}
+    assert got == {0: 151, 1: 59_849}
+    many = spark.range(3_000).select(F.lit("a").alias("key"), F.col("id").alias("turn"), F.col("id").cast("double").alias("start"), (F.col("id") + 0.5).alias("end"))
+    wrong = intervals.nearest_turn(w.where("w < 300000"), many, "key").where(F.col("turn") != F.least(F.lit(2999), F.floor(F.col("start") + 0.2499)))
+    assert wrong.count() == 0
+
+
 def test_nearest_turn(spark):
     words = spark.createDataFrame([("k", w, s, e) for w, s, e in (("a", 0.0, 1.0), ("gap-early", 2.0, 2.4), ("gap-late", 3.2, 3.8), ("b", 4.0, 5.0), ("c", 9.5, 9.9), ("tie", 2.5, 3.5))], "key string, w string, start double, end double")
     t = spark.createDataFrame([("k", 1, 0.5, 2.0), ("k", 2, 4.0, 5.0)], "key string, turn long, start double, end double")
