@@ -63,6 +63,11 @@ _CHROME_WORDS = frozenset(
     "alert popup modal overlay newsletter subscribe subscription signup login form search share sharing social comment comments discussion disqus reply replies respond "
     "pagination pager skip".split()
 )
+#: Words that say of a name only what shape or place its element has: "comment-list" is chrome, "related-work" is not.
+_SHAPE_WORDS = frozenset(
+    "area bar block bottom box btn button buttons col column container content entry global group inner item items left link links list main outer panel post posts "
+    "primary right row secondary section site page slot small large thread title top tools unit user wide wrap wrapper article articles story stories".split()
+)
 _CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 _ROOTS = frozenset(("article", "main"))
 _NODES = 200_000
@@ -71,6 +76,13 @@ _FREE, _CHROME, _CONTENT, _WHOLE = 0, -1, 1, 2
 _WHOLE_TAGS = frozenset(("html", "body"))  # the page itself is no branch
 
 
+def _names_chrome(name: str, in_content: bool) -> bool:
+    """Whether one class or id consists of words of chrome and of shape; in content a header is the content's own."""
+    words = {w.lower() for w in _WORDS.findall(name)}
+    telling = words & _CHROME_WORDS - ({"header"} if in_content else set())
+    return bool(telling) and words <= _CHROME_WORDS | _SHAPE_WORDS
+
+
 class Node:
     """A chain of presentation keys: its hash, the node above and what names say of it."""
 
@@ -106,8 +118,9 @@ class Trie:
         key = " ".join([tag, *(f"{k}={v}" for k, v in sorted(found.items()))])
         node = above.kids.get(key)
         if node is None:
-            words = {w.lower() for k in ("class", "id") for w in _WORDS.findall(found.get(k, ""))}
-            chrome = tag in _CHROME_TAGS or (words & _CHROME_WORDS and tag not in _WHOLE_TAGS) or found.get("role", "").lower() in _CHROME_ROLES
+            chrome = tag in _CHROME_TAGS or found.get("role", "").lower() in _CHROME_ROLES
+            if not chrome and tag not in _WHOLE_TAGS | _ROOTS:
+                chrome = any(_names_chrome(t, above.named == _CONTENT) for k in ("class", "id") for t in found.get(k, "").split())
             # The header of an article holds its title; elsewhere a header is the page's.
             chrome = chrome or (tag == "header" and above.named != _CONTENT)
             named = _CHROME if chrome or above.named == _CHROME else _CONTENT if tag in _ROOTS or found.get("role", "").lower() == "main" else above.named

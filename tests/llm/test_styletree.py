@@ -115,3 +115,19 @@ def test_depth_is_no_burden():
     assert page.text() == "text"
     assert max(len(n.chain()) for n in page.shapes if n.depth <= st.DEPTH) == st.DEPTH
     assert st._parsed("<p><button>" + "<div>" * 50_000 + "x" + "</i></b>" * 1000).text() == ""
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<div class="layout with-sidebar"><article>All of it</article><div class="left-sidebar">menu</div></div>', "All of it"),
+        ('<article class="post has-comments"><p>All of it</p><div class="comment-list">first!</div></article>', "All of it"),
+        ('<main id="search-main"><p>All of it</p></main>', "All of it"),
+        ('<article>All <section id="related-work">of it</section><div class="related posts">others</div></article>', "All of it"),
+        ('<article>All <div class="form-of-government">of it</div><div class="ad">buy</div><div class="adBox">buy</div></article>', "All of it"),
+        ('<article><div class="article-header">All</div> of it</article><div class="site-header">name</div>', "All of it"),
+    ],
+)
+def test_words_in_names_of_wrappers_and_sections(page, text):
+    """A word of chrome within a longer name says nothing; names of chrome alone still do."""
+    assert st.Page(f"<html><body>{page}</body></html>", st.Trie()).text() == text
