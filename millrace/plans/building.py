@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from millrace.catalog import query
 from millrace.functions import text as X
-from millrace.operators import examples, ranks, reviews, selection, splits, strata
-from millrace.plans.corpus import _GROUPS, _groups
+from millrace.operators import examples, ranks, reviews, scans, search, selection, splits, strata
+from millrace.plans.corpus import _CELLS, _GROUPS, _cells, _groups
 from millrace.plans.scores import PAIRS_SQL, pairs
 from millrace.plans.tables import ranks_sql, share_sql, table, words_sql
 from millrace.sources import files
@@ -49,6 +49,34 @@ def ps3_gap_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strata.gap_draw(d, seats, d.where("doc_id % 20 = 0"), ["lang", "cell"], "doc_id", "source", 8, 4).select("doc_id", "lang", "cell")
 
 
+def _scan_sql(seed: int) -> str:
+    """The rows of ``o`` (doc_id, keys a and b from 1, their seats la and lb) taken one by one: counts of both keys go along."""
+    return f"""line AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {_hash(seed)}, doc_id) AS p FROM o),
+z AS (SELECT 0::BIGINT AS p, list_transform(range(64), lambda i: 0::BIGINT) AS x, list_transform(range(64), lambda i: 0::BIGINT) AS y, NULL::BIGINT AS doc_id
+  UNION ALL SELECT line.p, CASE WHEN x[a] < la AND y[b] < lb THEN list_transform(x, lambda v, j: v + (j = a)::BIGINT) ELSE x END,
+    CASE WHEN x[a] < la AND y[b] < lb THEN list_transform(y, lambda v, j: v + (j = b)::BIGINT) ELSE y END, CASE WHEN x[a] < la AND y[b] < lb THEN line.doc_id END FROM z JOIN line ON line.p = z.p + 1)"""
+
+
+@query("w5_scanned_draw", f"""
+WITH RECURSIVE {_CELLS}, o AS (SELECT doc_id, source, stratum, dense_rank() OVER (ORDER BY source) AS a, dense_rank() OVER (ORDER BY stratum) AS b, 20 AS la, 40 AS lb FROM c), {_scan_sql(5)}
+SELECT doc_id, source, stratum FROM z JOIN o USING (doc_id)""")
+def w5_scanned_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 documents of each stratum and at most 20 of a source, as one scan by seeded hash takes them."""
+    return scans.greedy_scan(_cells(spark, sf_dir), "doc_id", [(["source"], 20, None), (["stratum"], 40, None)], 5)
+
+
+@query("ps3_scanned_draw", f"""
+WITH RECURSIVE d AS (SELECT *, least(n_words // 200, 4) AS cell FROM ({_D})), h AS (SELECT * FROM d WHERE doc_id % 20 = 0), u AS (SELECT source, count(*) AS used FROM h GROUP BY source),
+w AS (SELECT t.lang, t.cell, ceil(greatest(0, 6 - count(h.doc_id)) * 1.06::DOUBLE) AS want FROM (SELECT DISTINCT lang, cell FROM d) t LEFT JOIN h ON h.lang = t.lang AND h.cell = t.cell GROUP BY t.lang, t.cell),
+o AS (SELECT d.doc_id, d.source, lang, cell, dense_rank() OVER (ORDER BY d.source) AS a, dense_rank() OVER (ORDER BY lang, cell) AS b, 8 - coalesce(used, 0) AS la, want AS lb FROM d JOIN w USING (lang, cell) LEFT JOIN u ON u.source = d.source WHERE doc_id % 20 <> 0), {_scan_sql(4)}
+SELECT doc_id, lang, cell FROM z JOIN o USING (doc_id)""")
+def ps3_scanned_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ps3_gap_draw``'s cells and caps in one scan: a source's seats go to documents that their cell still needs."""
+    d = _docs(spark, sf_dir).select("doc_id", "source", "lang", F.least(F.floor(F.col("n_words") / 200), F.lit(4)).alias("cell"))
+    seats = d.select("lang", "cell").distinct().withColumn("seats", F.lit(6))
+    return scans.gap_scan(d, seats, d.where("doc_id % 20 = 0"), ["lang", "cell"], "doc_id", "source", 8, 4).select("doc_id", "lang", "cell")
+
+
 _PLACED = f"""d AS (SELECT doc_id, source, lang, least(n_words // 150, 3) AS r, doc_id % 3 AS c, doc_id % 4 = 0 AS reused FROM ({_D})),
 k AS (SELECT *, row_number() OVER (PARTITION BY lang, r, c ORDER BY reused DESC, {_hash(5)}, doc_id) AS place FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY source ORDER BY reused DESC, {_hash(5)}, doc_id) <= 12)),
 t AS (SELECT lang, r, c FROM (SELECT DISTINCT lang FROM d), range(4) a(r), range(3) b(c)), n AS (SELECT t.lang, t.r, t.c, count(k.doc_id) AS n FROM t LEFT JOIN k ON k.lang = t.lang AND k.r = t.r AND k.c = t.c GROUP BY ALL),
@@ -75,6 +103,14 @@ def ps4_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strata.select_cells(d, seats, "lang", "r", "c", "doc_id", "reused", "source", 12, 5).select("doc_id", "fills")
 
 
+@query("ps4_scanned_selection")
+def ps4_scanned_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ps4_selection``'s cells in two scans, the source's cap kept over both; tests hold the operator against a plain scan."""
+    d, seats = _pool(spark, sf_dir)
+    got = scans.filled_scan(d, seats, "lang", "r", "c", "doc_id", "reused", "source", 12, 5)
+    return got.select("doc_id", F.when(F.col("to_row").isNotNull(), F.concat_ws(",", F.col("to_row").cast("string"), F.col("to_column").cast("string"))).alias("fills"))
+
+
 @query("w11_near_fills", f"WITH RECURSIVE {_PLACED} SELECT lang, r, c, to_row, to_column, after, n FROM m")
 def w11_near_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each cell gives to which short one, nearest first."""
@@ -104,6 +140,14 @@ def ps6_floored_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.floored_draw(g, "grp", "lang", "pos", "lng", 12, 25, 21, 8, 5)
 
 
+@query("t6_local_search")
+def t6_local_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve groups of four documents from which no swap comes nearer to languages and lengths, or to the floors of sources."""
+    length = F.concat(F.lit("length "), F.least(F.floor(F.col("n_chars") / 1000), F.lit(3)))
+    g = table(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 4).alias("grp")).agg(F.array(F.min("lang"), F.min(length)).alias("cells"), F.collect_set("source").alias("sources"))
+    return search.local_search(g, "grp", "cells", "sources", 12, 2, 21)
+
+
 @query("ps7_split", f"""
 WITH RECURSIVE {_GROUPS}, el AS (SELECT doc_id, lang FROM documents JOIN labels USING (doc_id) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY {_hash(6)}, doc_id) <= 5), bn AS (SELECT DISTINCT root FROM gr JOIN el USING (doc_id))
 SELECT doc_id, root, CASE WHEN root IN (SELECT root FROM bn) THEN 'benchmark' WHEN ('0x' || substr({_hash(6, 'root')}, 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.1 THEN 'val' ELSE 'train' END AS side FROM gr""")
