@@ -6,13 +6,15 @@ with their ends are taken to add up, so that a cut is found from running sums an
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from millrace.functions import text as X
+from millrace.functions.names import fresh
 
 
 def counter(count: Callable[[list[str]], list[int]]) -> Callable[[Column], Column]:
@@ -94,3 +96,47 @@ def longer_in_training(chosen: DataFrame, key: str, sized: str, rendered: Column
 def target_counts(rows: DataFrame, keys: list[str], n: str, cut: str, max_target: int) -> DataFrame:
     """(keys, targets, encoder): supervised tokens after a cut, at most ``max_target`` an example, and those before it but the first."""
     return rows.groupBy(*keys).agg(F.sum(F.least(F.col(n) - F.col(cut), F.lit(max_target))).alias("targets"), F.sum(F.col(cut) - 1).alias("encoder"))
+
+
+def masked_positions(rows: DataFrame, keys: list[str], ids: str, real: Column, prob: float, mask_id: int, seed: int, prompt: Column | None = None) -> DataFrame:
+    """Rows with ``masked_ids`` and ``labels``: a share of the real positions masked, labels elsewhere -100.
+
+    Position 0, positions of the prompt (the first ``prompt``) and of the padding (from ``real`` on) are never masked. A
+    position's draw is a hash of the seed, the row's keys and the position, so it depends on no batch; rows with equal keys
+    are masked at the same places. A null array stays null.
+    """
+    first = F.greatest(F.lit(1), F.coalesce(prompt, F.lit(0))) if prompt is not None else F.lit(1)
+    marks, last, row = fresh("marks", rows), fresh("last", rows), fresh("row", rows)
+    base = rows.withColumn(row, F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])).withColumn(last, real).withColumn(marks, first)
+    share = lambda i: F.conv(F.substring(F.sha1(F.concat_ws("|", F.col(row), i.cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    base = base.withColumn(marks, F.transform(ids, lambda x, i: (i >= F.col(marks)) & (i < F.col(last)) & (share(i) < prob)))
+    at = lambda i: F.get(F.col(marks), i)
+    masked = F.transform(ids, lambda x, i: F.when(at(i), F.lit(mask_id).cast("long")).otherwise(x.cast("long")))
+    labels = F.transform(ids, lambda x, i: F.when(at(i), x.cast("long")).otherwise(F.lit(-100).cast("long")))
+    return base.withColumn("masked_ids", masked).withColumn("labels", labels).drop(row, marks, last)
+
+
+def longest_heads(rows: DataFrame, lines: str, frame: str, budget: int, count: Callable[[list[str]], list[int]]) -> DataFrame:
+    """Rows with ``kept`` (int): the most first lines whose text, after the frame's, counts no more than the budget.
+
+    ``count`` gives the tokens of whole texts, and need not add up over lines; it must not fall as lines are added. A batch's
+    rows are searched together: each step counts the middle of every open row, so a row costs about log n counts of
+    prefixes, never one for each line. Whole texts that fit are found by the first count. Null lines are no line, a null
+    frame is empty; a row of which no line fits keeps 0.
+    """
+    out = StructType([*rows.schema.fields, StructField("kept", IntegerType())])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(lines)).to_pylist()
+            starts = batch.column(batch.schema.get_field_index(frame)).to_pylist()
+            texts = [[x for x in t or [] if x is not None] for t in texts]
+            fits = lambda at: [n <= budget for n in count([(starts[i] or "") + "\n".join(texts[i][:k]) for i, k in at])]
+            whole = fits([(i, len(t)) for i, t in enumerate(texts)])
+            low, high = [len(t) if w else 0 for t, w in zip(texts, whole)], [len(t) for t in texts]
+            while open_ := [(i, (low[i] + high[i]) // 2) for i in range(len(texts)) if high[i] - low[i] > 1]:
+                for (i, k), ok in zip(open_, fits(open_)):
+                    low[i], high[i] = (k, high[i]) if ok else (low[i], k)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low, pa.int32())], names=[*batch.schema.names, "kept"])
+
+    return rows.mapInArrow(search, out)

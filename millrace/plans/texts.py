@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from millrace.catalog import query
 from millrace.functions import text as X
-from millrace.operators import labels, ranks, splits, turns
+from millrace.operators import examples, labels, ranks, splits, turns
 from millrace.operators.components import scratch
 from millrace.plans.scores import PAIRS_SQL, pairs
 from millrace.plans.tables import table, words_sql
-from millrace.sources import files
+from millrace.sources import files, frozen, packing
 
 
 def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,6 +189,31 @@ def t5_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.truncate_head(lines, "doc_id", "i", "line", F.lit(5), 200, X.word_count("line") + 1)
 
 
+@query("t5_longest_heads", """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+w AS (SELECT doc_id, i, unnest(list_distinct(list_filter(string_split_regex(line, '\\s+'), lambda x: x <> ''))) AS word FROM l), f AS (SELECT doc_id, word, min(i) AS i FROM w GROUP BY doc_id, word),
+n AS (SELECT doc_id, i, count(*) AS new FROM f GROUP BY doc_id, i), u AS (SELECT l.doc_id, l.i, sum(coalesce(new, 0)) OVER (PARTITION BY l.doc_id ORDER BY l.i) AS upto FROM l LEFT JOIN n ON n.doc_id = l.doc_id AND n.i = l.i)
+SELECT doc_id, count(*) FILTER (upto <= 60)::INTEGER AS kept FROM u GROUP BY doc_id""")
+def t5_longest_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many first lines of every document hold at most 60 distinct words: a count that does not add up over lines."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"), F.lit("").alias("frame"))
+    return examples.longest_heads(rows, "lines", "frame", 60, lambda texts: [len(set(t.split())) for t in texts]).select("doc_id", "kept")
+
+
+_IDS = "list_transform(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> ''), lambda x: len(x) + 7)"
+
+
+@query("p8_masked_positions", f"""
+WITH d AS (SELECT doc_id, list_concat({_IDS}[1:200], [0, 0, 0]) AS ids FROM documents), r AS (SELECT doc_id, ids, len(ids) - 3 AS n FROM d),
+m AS (SELECT doc_id, ids, list_transform(ids, lambda x, i: i > greatest(1, doc_id % 9) AND i <= n AND ('0x' || substr(sha1('3|' || doc_id::VARCHAR || '|' || (i - 1)::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.2) AS mark FROM r)
+SELECT doc_id, list_transform(ids, lambda x, i: CASE WHEN mark[i] THEN 4 ELSE x END::BIGINT) AS masked_ids, list_transform(ids, lambda x, i: CASE WHEN mark[i] THEN x ELSE -100 END::BIGINT) AS labels FROM m""")
+def p8_masked_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fifth of the places of windows of 200 tokens masked, prompts (of up to eight tokens) and three places of padding never."""
+    ids = F.transform(X.words("text"), lambda w: F.length(w) + 7)
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.slice(ids, 1, 200), F.array(F.lit(0), F.lit(0), F.lit(0))).alias("ids"))
+    return examples.masked_positions(rows, ["doc_id"], "ids", F.size("ids") - 3, 0.2, 4, 3, F.col("doc_id") % 9).select("doc_id", "masked_ids", "labels")
+
+
 @query("m5_first_examples", "SELECT source, lang, min(doc_id) AS doc_id FROM documents GROUP BY ALL")
 def m5_first_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One example of each call and variant: a source and a language, the first by id."""
@@ -250,3 +275,36 @@ def s11_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = files.pack_tokens(d, "ids", 0, 4096, ["doc_id"])
     ends = F.regexp_count(F.regexp_replace(F.hex("tokens"), "(.{8})", "$1 "), F.lit("00000000"))
     return rows.agg(F.sum("n_tokens").alias("tokens"), F.sum(ends).cast("long").alias("documents"))
+
+
+_STREAM = f"""d AS (SELECT doc_id, source, unnest(range(CASE WHEN lang = 'en' THEN 2 ELSE 1 END)) + 1 AS copy, list_append({_IDS}, 0) AS ids FROM documents)"""
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "source", F.transform(X.words("text"), lambda w: F.length(w) + 7).alias("ids"), F.when(F.col("lang") == "en", 2).otherwise(1).alias("repeat"))
+
+
+@query("s11_blocks", f"""
+WITH {_STREAM}, t AS (SELECT sha1('7|' || doc_id::VARCHAR || '|' || copy::VARCHAR) AS mark, doc_id, unnest(ids) AS t, generate_subscripts(ids, 1) AS i FROM d),
+n AS (SELECT t, row_number() OVER (ORDER BY mark, doc_id, i) - 1 AS pos FROM t)
+SELECT pos // 4096 AS block, count(*)::INTEGER AS n_tokens, sha256(string_agg(printf('%02X000000', t), '' ORDER BY pos)) AS sha256 FROM n GROUP BY block""")
+def s11_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream of all documents (English ones twice) in blocks of exactly 4,096 tokens; a document's ids are one a word."""
+    blocks = packing.token_blocks(_streamed(spark, sf_dir), "doc_id", "ids", "source", 0, 4096, 7, "repeat")
+    return blocks.select("block", "n_tokens", F.sha2(F.hex("tokens"), 256).alias("sha256"))
+
+
+@query("s11_totals", f"WITH {_STREAM} SELECT source, count(DISTINCT doc_id) AS documents, count(*) AS copies, sum(len(ids))::BIGINT AS tokens FROM d GROUP BY source")
+def s11_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each source gives to that stream."""
+    return packing.stream_totals(_streamed(spark, sf_dir), "doc_id", "ids", "source", "repeat")
+
+
+@query("s12_frozen_split", "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'val' ELSE 'train' END AS side, text FROM documents")
+def s12_frozen_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' sides written with a manifest, checked and read back."""
+    path = _folder(spark, "frozen")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    frozen.freeze_split(path, {"train": d.where("doc_id % 10 <> 0"), "val": d.where("doc_id % 10 = 0")}, table(spark, sf_dir, "benchmark"), "plan-1")
+    sides = frozen.frozen_split(spark, path, ["train", "val"], "plan-1")
+    return sides["train"].withColumn("side", F.lit("train")).unionByName(sides["val"].withColumn("side", F.lit("val"))).select("doc_id", "side", "text")
