@@ -104,3 +104,15 @@ def error_rates(pairs: DataFrame, keys: list[str], ref: str = "ref", hyp: str =
     sums = rows.groupBy(*keys).agg(F.count("*").alias("n_files"), F.sum("r").alias("n_ref"), F.sum("h").alias("n_hyp"), count("replace").alias("s"), count("delete").alias("d"), count("insert").alias("i"))
     rate = lambda c: F.when(F.col("n_ref") > 0, F.bround(c / F.col("n_ref"), 4)).otherwise(0.0)
     return sums.select(*keys, "n_files", "n_ref", "n_hyp", rate(F.col("s") + F.col("d") + F.col("i")).alias("wer"), rate(F.col("s")).alias("sub_rate"), rate(F.col("d")).alias("del_rate"), rate(F.col("i")).alias("ins_rate"))
+
+
+def pooled_counts(pairs: DataFrame, keys: list[str], ref: str = "ref", hyp: str = "hyp") -> DataFrame:
+    """(keys, pooled, op, ref, hyp, n): ``alignment_counts`` of every key and of all keys together, each pair aligned once.
+
+    Rows of all together have ``pooled`` true and null keys; a null key of its own has it false. Edits are counted by key
+    first, so what is counted twice is distinct edits and not events. An empty table gives no rows.
+    """
+    counts = alignment_counts(pairs, keys, ref, hyp)
+    edit = ["op", "ref", "hyp"]
+    sets = counts.groupingSets([[*keys, *edit], edit], *keys, *edit)
+    return sets.agg(F.sum("n").alias("n"), F.grouping_id().alias("level")).select(*keys, (F.col("level") > 0).alias("pooled"), *edit, "n")

@@ -211,6 +211,12 @@ def a21_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_counts(_pairs(spark, sf_dir), ["role"])
 
 
+@query("a21_pooled_counts")
+def a21_pooled_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of edits by role and of both together, from one alignment."""
+    return alignment.pooled_counts(_pairs(spark, sf_dir), ["role"])
+
+
 @query("p2_noise")
 def p2_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations with seeded errors of the fitted kind; tests hold it against a plain loop."""

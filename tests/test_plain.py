@@ -103,3 +103,18 @@ def _indel(a, b):
         for j, y in enumerate(b, 1):
             last, row[j] = row[j], last if x == y else min(row[j] + 1, row[j - 1] + 1)
     return row[-1]
+
+
+def test_a21_pooled_counts(spark, sf):
+    from collections import Counter
+
+    own = catalog.queries()["a21_edit_counts"](spark, sf).collect()
+    got = catalog.queries()["a21_pooled_counts"](spark, sf).collect()
+    total = Counter()
+    for r in own:
+        total[r.op, r.ref, r.hyp] += r.n
+    assert {(r.op, r.ref, r.hyp): r.n for r in got if r.pooled} == total
+    assert {(r.role, r.op, r.ref, r.hyp, r.n) for r in got if not r.pooled} == {(r.role, r.op, r.ref, r.hyp, r.n) for r in own}
+    nulls = spark.createDataFrame([(None, ["a"], ["b"]), ("k", ["a"], ["b"]), (None, None, None)], "k string, ref array<string>, hyp array<string>")
+    rows = {(r.k, r.pooled): r.n for r in alignment.pooled_counts(nulls, ["k"]).collect() if r.op == "replace"}
+    assert rows == {(None, False): 1, ("k", False): 1, (None, True): 2}
