@@ -104,12 +104,12 @@ def allocate(cells: DataFrame, n: int, group: list[str], cell: str, count: str)
 
     A group's cells are few and meet in one window. An empty table stays empty.
     """
+    raw, rank, left = (fresh(x, cells) for x in ("raw", "rank", "left"))
     w = Window.partitionBy(*group)
-    share = F.lit(n) * F.col(count) / F.sum(count).over(w)
-    whole = cells.withColumn("_raw", share).withColumn("seats", F.floor("_raw"))
-    rank = F.row_number().over(w.orderBy(F.desc(F.col("_raw") - F.col("seats")), cell))
-    left = F.lit(n) - F.sum("seats").over(w)
-    return whole.withColumn("_rank", rank).withColumn("_left", left).withColumn("seats", F.col("seats") + (F.col("_rank") <= F.col("_left")).cast("int")).drop("_raw", "_rank", "_left")
+    whole = cells.withColumn(raw, F.lit(n) * F.col(count) / F.sum(count).over(w)).withColumn("seats", F.floor(raw))
+    place = F.row_number().over(w.orderBy(F.desc(F.col(raw) - F.col("seats")), cell))
+    ranked = whole.withColumn(rank, place).withColumn(left, F.lit(n) - F.sum("seats").over(w))
+    return ranked.withColumn("seats", F.col("seats") + (F.col(rank) <= F.col(left)).cast("int")).drop(raw, rank, left)
 
 
 def quantile_cuts(df: DataFrame, keys: list[str], value: str, bins: int) -> DataFrame:

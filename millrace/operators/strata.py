@@ -48,14 +48,16 @@ def gap_draw(candidates: DataFrame, targets: DataFrame, have: DataFrame, cell: l
     ``targets`` has (cell, seats); ``have`` has the rows in hand, whose podcasts count for the cap. A podcast's rows
     beyond the cap are passed over before cells draw, by the same seeded hash.
     """
-    used = have.groupBy(podcast).agg(F.count("*").alias("used"))
-    own = F.row_number().over(Window.partitionBy(podcast).orderBy(seeded_hash(seed, item), item))
-    free = candidates.join(have.select(item), item, "left_anti").join(used, podcast, "left").withColumn("own", own).where(F.col("own") + F.coalesce("used", F.lit(0)) <= cap).drop("own", "used")
-    got = have.groupBy(*cell).agg(F.count("*").alias("got"))
-    need = targets.join(got, cell, "left").withColumn("need", F.greatest(F.lit(0), F.col("seats") - F.coalesce("got", F.lit(0))))
-    want = need.select(*cell, F.ceil(F.col("need") * (1 + margin)).alias("want")).where("want > 0")
-    place = F.row_number().over(Window.partitionBy(*cell).orderBy(seeded_hash(seed, item), item))
-    return free.join(want, cell).withColumn("place", place).where("place <= want").select(*candidates.columns)
+    used, own, got, want, place = (fresh(x, candidates, targets, have) for x in ("used", "own", "got", "want", "place"))
+    taken = have.groupBy(podcast).agg(F.count("*").alias(used))
+    nth = F.row_number().over(Window.partitionBy(podcast).orderBy(seeded_hash(seed, item), item))
+    rest = candidates.join(have.select(item), item, "left_anti").join(taken, podcast, "left").withColumn(own, nth)
+    free = rest.where(F.col(own) + F.coalesce(used, F.lit(0)) <= cap).drop(own, used)
+    held = have.groupBy(*cell).agg(F.count("*").alias(got))
+    short = F.greatest(F.lit(0), F.col("seats") - F.coalesce(got, F.lit(0)))
+    seats = targets.join(held, cell, "left").select(*cell, F.ceil(short * (1 + margin)).alias(want)).where(F.col(want) > 0)
+    in_cell = F.row_number().over(Window.partitionBy(*cell).orderBy(seeded_hash(seed, item), item))
+    return free.join(seats, cell).withColumn(place, in_cell).where(F.col(place) <= F.col(want)).select(*candidates.columns)
 
 
 def near_fills(cells: DataFrame, stratum: str, row: str, column: str, seats: str, n: str) -> DataFrame:
@@ -93,13 +95,14 @@ def select_cells(pool: DataFrame, seats: DataFrame, stratum: str, row: str, colu
     """
     cell = [stratum, row, column]
     order = [F.desc(F.col(reused).cast("int")), seeded_hash(seed, item), F.col(item)]
-    own = F.row_number().over(Window.partitionBy(podcast).orderBy(*order))
-    placed = pool.withColumn("own", own).where(F.col("own") <= cap).drop("own").withColumn("place", F.row_number().over(Window.partitionBy(*cell).orderBy(*order)))
+    own, place = (fresh(x, pool, seats) for x in ("own", "place"))
+    nth = F.row_number().over(Window.partitionBy(podcast).orderBy(*order))
+    placed = pool.withColumn(own, nth).where(F.col(own) <= cap).drop(own).withColumn(place, F.row_number().over(Window.partitionBy(*cell).orderBy(*order)))
     n = placed.groupBy(*cell).agg(F.count("*").alias("n"))
     known = seats.join(n, cell, "full").select(*cell, F.coalesce("seats", F.lit(0)).alias("seats"), F.coalesce("n", F.lit(0)).alias("n"))
     moves = near_fills(known, stratum, row, column, "seats", "n")
-    mine = placed.join(seats, cell).where(F.col("place") <= F.col("seats")).withColumn("fills", F.lit(None).cast("string")).select(*pool.columns, "fills")
-    given = placed.join(moves, cell).where((F.col("place") > F.col("after")) & (F.col("place") <= F.col("after") + F.col("n")))
+    mine = placed.join(seats, cell).where(F.col(place) <= F.col("seats")).withColumn("fills", F.lit(None).cast("string")).select(*pool.columns, "fills")
+    given = placed.join(moves, cell).where((F.col(place) > F.col("after")) & (F.col(place) <= F.col("after") + F.col("n")))
     return mine.unionByName(given.withColumn("fills", F.concat_ws(",", F.col("to_row").cast("string"), F.col("to_column").cast("string"))).select(*pool.columns, "fills"))
 
 

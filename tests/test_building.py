@@ -80,3 +80,15 @@ def test_whole_groups_on_one_side(spark):
     assert got.groupBy("root").agg(F.count_distinct("side").alias("n")).where("n > 1").count() == 0
     sides = {r.side: r["count"] for r in got.groupBy("side").count().collect()}
     assert 20 <= sides["benchmark"] <= 24 and sides["val"] > 0 and sides["train"] > 200
+
+
+def test_helper_columns_keep_a_table_s_own(spark):
+    from millrace.operators import ranks
+
+    cells = spark.createDataFrame([("g", 1, 3, "x"), ("g", 2, 1, "y")], "grp string, cell int, n int, _raw string").withColumn("_left", F.lit(7))
+    got = {r.cell: (r.seats, r["_raw"], r["_left"]) for r in ranks.allocate(cells, 2, ["grp"], "cell", "n").collect()}
+    assert got == {1: (2, "x", 7), 2: (0, "y", 7)}  # equal remainders: the first cell
+    rows = spark.range(20).selectExpr("id", "id % 2 AS cell", "'p' AS podcast", "'o' AS own", "'u' AS used", "'w' AS want", "'s' AS place")
+    seats = spark.createDataFrame([(0, 2), (1, 2)], "cell long, seats int")
+    drawn = strata.gap_draw(rows, seats, rows.where("id < 2"), ["cell"], "id", "podcast", 9, 1, margin=0).collect()
+    assert len(drawn) == 2 and all((r.own, r.used, r.want, r.place) == ("o", "u", "w", "s") and r.id >= 2 for r in drawn)
