@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 #: Longest spans that count as one edit of a phrase.
 REF_SPAN, HYP_SPAN = 4, 6
 
-EDITS = StructType([StructField("op", StringType()), StructField("ref", StringType()), StructField("hyp", StringType()), StructField("level", StringType())])
-
+#: Cells of tables that are filled together, words that are aligned at once, and distinct edits that a task counts before it hands them on.
+_CELLS, _WORDS, _HELD = 1 << 21, 1 << 16, 50_000
 
 def _next(row: np.ndarray, i: int, same: np.ndarray) -> np.ndarray:
     """The costs of row ``i`` from those of the row before; ``same`` says where the row's word equals a word of the other text."""
@@ -67,6 +69,80 @@ def edit_script(ref: list[str], hyp: list[str]) -> list[tuple[str, int, int]]:
     return out[::-1]
 
 
+_MATCH, _REPLACE, _DELETE, _INSERT = range(4)
+_NAMES = {_REPLACE: "replace", _DELETE: "delete", _INSERT: "insert"}
+
+
+def _moves(refs: list[np.ndarray], hyps: list[np.ndarray]) -> np.ndarray:
+    """For each pair and cell (i, j), i from 1, the step that ``edit_script`` takes back from it. The pairs' tables grow row by row together."""
+    n, m = max(map(len, refs)), max(map(len, hyps))
+    r, h = np.full((len(refs), n), -1), np.full((len(hyps), m), -2)
+    for k, (a, b) in enumerate(zip(refs, hyps)):
+        r[k, : len(a)], h[k, : len(b)] = a, b
+    kind = np.int16 if n + m < 1 << 14 else np.int32
+    steps = np.arange(m + 1, dtype=kind)
+    row, out = np.tile(steps, (len(refs), 1)), np.empty((len(refs), m + 1), kind)
+    moves = np.full((len(refs), n, m + 1), _DELETE, np.uint8)
+    for i in range(1, n + 1):
+        same = h == r[:, i - 1 : i]
+        below, across = row[:, 1:] + kind(1), row[:, :-1] + kind(1)
+        out[:, 0] = i
+        np.minimum(below, across - same, out=out[:, 1:])
+        out -= steps
+        np.minimum.accumulate(out, axis=1, out=out)
+        out += steps
+        at = out[:, 1:]
+        moves[:, i - 1, 1:] = np.where(same, _MATCH, np.where(at == across, _REPLACE, np.where(at == below, _DELETE, _INSERT)))
+        row, out = out, row
+    return moves
+
+
+def edit_scripts(refs: list[np.ndarray], hyps: list[np.ndarray]) -> Iterator[tuple[int, list[tuple[str, int, int]]]]:
+    """(place, ``edit_script``) of every pair of coded texts, in any order: tables of pairs of like sizes are filled together, large ones alone."""
+    order = sorted(range(len(refs)), key=lambda k: (len(refs[k]), len(hyps[k])))
+    while order:
+        some, n, m = [], 0, 0
+        while order:
+            a, b = max(n, len(refs[order[-1]])), max(m, len(hyps[order[-1]]))
+            if some and (len(some) + 1) * (a + 1) * (b + 1) > _CELLS:
+                break
+            some.append(order.pop())
+            n, m = a, b
+        if len(some) == 1 and (n + 1) * (m + 1) > _CELLS:
+            yield some[0], edit_script(refs[some[0]].tolist(), hyps[some[0]].tolist())
+            continue
+        moves = _moves([refs[k] for k in some], [hyps[k] for k in some])
+        for table, k in zip(moves, some):
+            steps, out, i, j = table.tobytes(), [], len(refs[k]), len(hyps[k])
+            while i or j:
+                step = steps[(i - 1) * (m + 1) + j] if i else _INSERT
+                i -= step != _INSERT
+                j -= step != _DELETE
+                if step:
+                    out.append((_NAMES[step], i, j))
+            yield k, out[::-1]
+
+
+def _coded(ref: pa.Array, hyp: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], list[str]]:
+    """Both sides' words of each row as numbers, and what these stand for; null texts are empty."""
+    lengths = [np.asarray(x.value_lengths().fill_null(0)) for x in (ref, hyp)]
+    words = pa.concat_arrays([ref.flatten(), hyp.flatten()]).dictionary_encode(null_encoding="encode")
+    codes = words.indices.to_numpy()
+    ends = np.cumsum(np.concatenate(lengths))
+    each = np.split(codes, ends[:-1]) if len(ends) else []
+    return each[: len(ref)], each[len(ref) :], words.dictionary.to_pylist()
+
+
+def _pieces(ref: pa.Array, hyp: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with some ``_WORDS`` words each."""
+    upto = np.cumsum(sum(np.asarray(x.value_lengths().fill_null(0)).astype(np.int64) for x in (ref, hyp)))
+    first = 0
+    while first < len(upto):
+        last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + _WORDS, "right")))
+        yield first, last
+        first = last
+
+
 def spans(script: list[tuple[str, int, int]]) -> list[tuple[int, int, int, int]]:
     """Runs of touching edits as (ref from, ref to, hyp from, hyp to): an edit joins the run that ends where it starts."""
     starts = [(i, j) for _, i, j in script]
@@ -75,32 +151,68 @@ def spans(script: list[tuple[str, int, int]]) -> list[tuple[int, int, int, int]]
     return [(starts[a][0], ends[b - 1][0], starts[a][1], ends[b - 1][1]) for a, b in zip(heads, [*heads[1:], len(script)])]
 
 
-def _events(ref: list[str], hyp: list[str]) -> list[tuple[str, str | None, str | None, str]]:
-    script = edit_script(ref, hyp)
-    out = [(op, ref[i] if op != "insert" else None, hyp[j] if op != "delete" else None, "word") for op, i, j in script]
+def _events(ref: list[str], hyp: list[str], script: list[tuple[str, int, int]]) -> list[tuple[str, str | None, str | None]]:
+    """The edits at word and at span level as (op, ref, hyp)."""
+    out = [(op, ref[i] if op != "insert" else None, hyp[j] if op != "delete" else None) for op, i, j in script]
     for a, b, c, d in spans(script):
         if b - a <= REF_SPAN and d - c <= HYP_SPAN:
-            out.append(("span" if b > a else "phrase", " ".join(ref[a:b]) or None, " ".join(hyp[c:d]) or None, "span"))
-        out += [("involved", w, None, "span") for w in ref[a:b]]
+            out.append(("span" if b > a else "phrase", " ".join(ref[a:b]) or None, " ".join(hyp[c:d]) or None))
+        out += [("involved", w, None) for w in ref[a:b]]
     return out
 
 
-@F.pandas_udf(ArrayType(EDITS))
-def edit_events(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    """The edits of a file pair at word and at span level, one pair after the other."""
-    return pd.Series([_events(list(a) if a is not None else [], list(b) if b is not None else []) for a, b in zip(ref, hyp)])
+@F.arrow_udf(StructType([StructField(x, LongType()) for x in ("replace", "delete", "insert")]))
+def edit_sizes(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    """How many words of a file pair are replaced, deleted and inserted."""
+    out = np.zeros((3, len(ref)), np.int64)
+    for a, b in _pieces(ref, hyp):
+        refs, hyps, _ = _coded(ref[a:b], hyp[a:b])
+        for k, script in edit_scripts(refs, hyps):
+            n = Counter(op for op, _, _ in script)
+            out[:, a + k] = n["replace"], n["delete"], n["insert"]
+    return pa.StructArray.from_arrays([pa.array(x) for x in out], ["replace", "delete", "insert"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edits of (keys, ref, hyp) rows as (keys, op, ref, hyp, n), counted as far as a task holds them."""
+    for batch in batches:
+        n_keys = batch.num_columns - 2
+        keys, ref, hyp = batch.columns[:n_keys], batch.column(n_keys), batch.column(n_keys + 1)
+        first: dict[str, int] = {}
+        of = [first.setdefault(k, i) for i, k in enumerate(map(repr, zip(*[k.to_pylist() for k in keys])))] if keys else [0] * len(ref)
+        held: Counter = Counter()
+
+        def flushed() -> pa.RecordBatch:
+            rows = pa.array([at for at, _ in held], pa.int64())
+            words = [pa.array([e[i] for _, e in held], pa.string()) for i in range(3)]
+            n = pa.array(list(held.values()), pa.int64())
+            return pa.record_batch([*[k.take(rows) for k in keys], *words, n], [*batch.schema.names[:n_keys], "op", "ref", "hyp", "n"])
+
+        for a, b in _pieces(ref, hyp):
+            refs, hyps, words = _coded(ref[a:b], hyp[a:b])
+            for k, script in edit_scripts(refs, hyps):
+                if script:
+                    at = of[a + k]
+                    held.update([(at, e) for e in _events([words[x] for x in refs[k].tolist()], [words[x] for x in hyps[k].tolist()], script)])
+                if len(held) > _HELD:
+                    yield flushed()
+                    held.clear()
+        if held:
+            yield flushed()
 
 
 def alignment_counts(pairs: DataFrame, keys: list[str], ref: str = "ref", hyp: str = "hyp") -> DataFrame:
     """(keys, op, ref, hyp, n): counts of edits over all files, which add up over any split of the files."""
-    events = pairs.select(*keys, F.explode(edit_events(F.col(ref), F.col(hyp))).alias("e"))
-    return events.groupBy(*keys, "e.op", "e.ref", "e.hyp").agg(F.count("*").alias("n"))
+    rows = pairs.select(*keys, F.col(ref).alias("ref"), F.col(hyp).alias("hyp"))
+    edits = ["op", "ref", "hyp"]
+    made = StructType([*rows.schema.fields[: len(keys)], *[StructField(x, StringType()) for x in edits], StructField("n", LongType())])
+    return rows.mapInArrow(_counted, made).groupBy(*keys, *edits).agg(F.sum("n").alias("n"))
 
 
 def error_rates(pairs: DataFrame, keys: list[str], ref: str = "ref", hyp: str = "hyp") -> DataFrame:
     """(keys, n_files, n_ref, n_hyp, wer, sub_rate, del_rate, ins_rate), rates to four places; no reference words give 0."""
-    rows = pairs.select(*keys, F.size(ref).alias("r"), F.size(hyp).alias("h"), edit_events(F.col(ref), F.col(hyp)).alias("e"))
-    count = lambda op: F.sum(F.size(F.filter("e", lambda x: x["op"] == op)))
+    rows = pairs.select(*keys, F.size(ref).alias("r"), F.size(hyp).alias("h"), edit_sizes(F.col(ref), F.col(hyp)).alias("e"))
+    count = lambda op: F.sum(f"e.{op}")
     sums = rows.groupBy(*keys).agg(F.count("*").alias("n_files"), F.sum("r").alias("n_ref"), F.sum("h").alias("n_hyp"), count("replace").alias("s"), count("delete").alias("d"), count("insert").alias("i"))
     rate = lambda c: F.when(F.col("n_ref") > 0, F.bround(c / F.col("n_ref"), 4)).otherwise(0.0)
     return sums.select(*keys, "n_files", "n_ref", "n_hyp", rate(F.col("s") + F.col("d") + F.col("i")).alias("wer"), rate(F.col("s")).alias("sub_rate"), rate(F.col("d")).alias("del_rate"), rate(F.col("i")).alias("ins_rate"))

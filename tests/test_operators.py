@@ -210,3 +210,30 @@ def test_spoken_turns_use_episodes(spark):
     ep = spark.createDataFrame([(1, "EN-us", "x"), (2, "en", "y"), (3, "de", "z")], "episode_id int, language string, title string")
     got = podcasts.spoken_turns(t, ep, least_turns=4, boiler_tokens=4, boiler_episodes=3).collect()
     assert Counter(r.episode_id for r in got) == {1: 3, 2: 3} and all(r.turn_text != "We thank our sponsors" for r in got)
+
+
+def test_alignments_in_batches(monkeypatch):
+    """Scripts of tables filled together equal those of one pair at a time, and a task hands on its edits before they are many."""
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    from millrace.operators import alignment
+
+    rng = np.random.default_rng(4)
+    pairs = [(rng.integers(0, 6, rng.integers(0, 30)), rng.integers(0, 6, rng.integers(0, 30))) for _ in range(300)] + [(np.zeros(0, int), np.zeros(0, int))]
+    want = [alignment.edit_script(a.tolist(), b.tolist()) for a, b in pairs]
+    for cells in (1, 500, 20_000, 1 << 21):
+        monkeypatch.setattr(alignment, "_CELLS", cells)
+        assert sorted(alignment.edit_scripts(*zip(*pairs))) == list(enumerate(want))
+    monkeypatch.setattr(alignment, "_WORDS", 40)
+    monkeypatch.setattr(alignment, "_HELD", 50)
+    texts = [[[chr(97 + x) for x in side] for side in pair] for pair in pairs] + [[None, None]]
+    batch = pa.record_batch([pa.array([i % 3 for i in range(len(texts))]), *[pa.array([t[k] for t in texts], pa.list_(pa.string())) for k in (0, 1)]], ["k", "ref", "hyp"])
+    made, got = list(alignment._counted(iter([batch]))), Counter()
+    assert len(made) > 10 and max(map(len, made)) < 300
+    for r in (r for part in made for r in part.to_pylist()):
+        got[r["k"], r["op"], r["ref"], r["hyp"]] += r["n"]
+    plain = Counter((i % 3, *e) for i, (t, script) in enumerate(zip(texts, want)) for e in alignment._events(t[0], t[1], script))
+    assert got == plain
