@@ -237,3 +237,14 @@ def test_alignments_in_batches(monkeypatch):
         got[r["k"], r["op"], r["ref"], r["hyp"]] += r["n"]
     plain = Counter((i % 3, *e) for i, (t, script) in enumerate(zip(texts, want)) for e in alignment._events(t[0], t[1], script))
     assert got == plain
+
+
+def test_six_links_hash_the_passages_once(spark, sf, monkeypatch):
+    """No kind of link hashes the texts again: they read a stored table."""
+    from millrace import catalog
+    from millrace.operators import grouping
+
+    seen, groups = [], grouping.groups
+    monkeypatch.setattr(grouping, "groups", lambda d, doc, *links: seen.extend(links) or groups(d, doc, *links))
+    catalog.queries()["j9_six_links"](spark, sf)
+    assert len(seen) == 7 and not any("md5(" in x._jdf.queryExecution().toString() for x in seen)
