@@ -173,24 +173,31 @@ def edit_sizes(ref: pa.Array, hyp: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(x) for x in out], ["replace", "delete", "insert"])
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edits of (keys, ref, hyp) rows as (keys, op, ref, hyp, n), counted as far as a task holds them."""
+def _counted(batches: Iterator[pa.RecordBatch], each: bool = False) -> Iterator[pa.RecordBatch]:
+    """Edits of (keys, ref, hyp) rows as (keys, op, ref, hyp, n), counted as far as a task holds them.
+
+    With ``each`` these rows count over all keys, which are null in them, and every file has a row of its own too: its keys,
+    no op, and how many words it has changed.
+    """
     for batch in batches:
         n_keys = batch.num_columns - 2
         keys, ref, hyp = batch.columns[:n_keys], batch.column(n_keys), batch.column(n_keys + 1)
         first: dict[str, int] = {}
-        of = [first.setdefault(k, i) for i, k in enumerate(map(repr, zip(*[k.to_pylist() for k in keys])))] if keys else [0] * len(ref)
+        of = [first.setdefault(k, i) for i, k in enumerate(map(repr, zip(*[k.to_pylist() for k in keys])))] if keys and not each else [0] * len(ref)
+        names = [*batch.schema.names[:n_keys], "op", "ref", "hyp", "n"]
+        changed = np.zeros(len(ref), np.int64)
         held: Counter = Counter()
 
         def flushed() -> pa.RecordBatch:
             rows = pa.array([at for at, _ in held], pa.int64())
             words = [pa.array([e[i] for _, e in held], pa.string()) for i in range(3)]
             n = pa.array(list(held.values()), pa.int64())
-            return pa.record_batch([*[k.take(rows) for k in keys], *words, n], [*batch.schema.names[:n_keys], "op", "ref", "hyp", "n"])
+            return pa.record_batch([*[pa.nulls(len(held), k.type) if each else k.take(rows) for k in keys], *words, n], names)
 
         for a, b in _pieces(ref, hyp):
             refs, hyps, words = _coded(ref[a:b], hyp[a:b])
             for k, script in edit_scripts(refs, hyps):
+                changed[a + k] = len(script)
                 if script:
                     at = of[a + k]
                     held.update([(at, e) for e in _events([words[x] for x in refs[k].tolist()], [words[x] for x in hyps[k].tolist()], script)])
@@ -199,6 +206,15 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     held.clear()
         if held:
             yield flushed()
+        if each:
+            yield pa.record_batch([*keys, *[pa.nulls(len(ref), pa.string())] * 3, pa.array(changed)], names)
+
+
+def counts_and_files(pairs: DataFrame, keys: list[str], ref: str = "ref", hyp: str = "hyp") -> DataFrame:
+    """(keys, op, ref, hyp, n) from one alignment: counts over all files, to be added up, with null keys; and each file's changes, with a null op."""
+    rows = pairs.select(*keys, F.col(ref).alias("ref"), F.col(hyp).alias("hyp"))
+    made = StructType([*[StructField(f.name, f.dataType) for f in rows.schema.fields[: len(keys)]], *[StructField(x, StringType()) for x in ("op", "ref", "hyp")], StructField("n", LongType())])
+    return rows.mapInArrow(lambda batches: _counted(batches, True), made)
 
 
 def alignment_counts(pairs: DataFrame, keys: list[str], ref: str = "ref", hyp: str = "hyp") -> DataFrame:
