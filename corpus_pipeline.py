@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bytebpe, langid, mixing, neardup
-from millrace.llm.shared import read_table, small_batches, stored
+from millrace.llm.shared import new_name, read_table, small_batches, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +26,9 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose tokens stand in the target proportions of source, language and topic."""
-    tokens = mixing.word_count(F.col("text"))
-    mixed = mixing.mix(docs, F.col("source"), F.col("lang"), mixing.form_topic(F.col("text"), tokens), tokens, taken="mixed_as")
+    name = new_name(docs, "n_words")
+    counted = docs.withColumn(name, mixing.word_count(F.col("text")))  # a column of its own, which is counted once
+    mixed = mixing.mix(counted, F.col("source"), F.col("lang"), mixing.form_topic(F.col("text"), F.col(name)), F.col(name), taken="mixed_as")
     return mixed.select(*docs.columns)
 
 

@@ -132,6 +132,7 @@ def mix(docs: DataFrame, source: Column, language: Column, topic: Column, tokens
     chance = stored(ratio.join(F.broadcast(most)).select(F.col("source").alias("s_"), F.col("language").alias("l_"), F.col("topic").alias("t_"), (F.col("ratio") / F.col("most")).alias("p_")), "chances")
     same = (F.col(s) == F.col("s_")) & (F.col(lang) == F.col("l_")) & (F.col(t) == F.col("t_"))
     key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`"), F.lit(""))
-    kept = rows.join(chance, same).where((F.col(n) > 0) & (uniform(key, seed) < F.col("p_")))
+    # One condition on both sides: a filter of its own on the tokens would be put below the join and count them again.
+    kept = rows.join(chance, same).where(uniform(key, seed) < F.when(F.col(n) > 0, F.col("p_")))
     about = F.struct(F.col(s).alias("source"), F.col(lang).alias("language"), F.col(t).alias("topic"), F.col(n).alias("n_tokens"), F.col("p_").alias("probability"))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns], about.alias(taken))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from millrace.llm import simhash
-from millrace.llm.shared import let_go, stored
+from millrace.llm.shared import dealt_out, let_go, stored
 from millrace.operators.components import components
 
 SHINGLE, LEAST = 5, 0.8
@@ -38,8 +38,14 @@ _XOR, _TIMES = _RANDOM[0], _RANDOM[1] | np.uint64(1)
 def shingles(text: bytes | None) -> np.ndarray:
     """The distinct XXH64 hashes, ascending, of a text's shingles; words as in ``simhash.fingerprint``."""
     words = (text or b"").lower().split()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(b" ".join(words[i : i + SHINGLE]), simhash.SEED) for i in range(max(1, len(words) - SHINGLE + 1)) if words], np.uint64))
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = [0, *(ends[:-1] + 1).tolist()][: max(1, len(words) - SHINGLE + 1)]
+    digest = xxhash.xxh64_digest
+    hashes = b"".join([digest(joined[a:b], simhash.SEED) for a, b in zip(starts, ends[min(SHINGLE, len(words)) - 1 :].tolist())])
+    return np.unique(np.frombuffer(hashes, ">u8").astype(np.uint64))
 
 
 def node(found: np.ndarray) -> int:
@@ -50,14 +56,17 @@ def fingerprint(found: np.ndarray) -> int:
     """The signed SimHash of a set: the majority bits of its members."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(found), 65_536):
-        counts += np.unpackbits(found[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        counts += np.unpackbits(found[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
     return int.from_bytes(np.packbits(counts * 2 > len(found)).tobytes(), "big", signed=True)
 
 
 def bands(found: np.ndarray) -> list[int]:
     if not len(found):
         return [0] * BANDS
-    least = np.array([((found ^ x) * t).min() for x, t in zip(_XOR, _TIMES)], np.uint64).reshape(BANDS, ROWS)
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(found), 65_536):
+        np.minimum(least, ((found[at : at + 65_536, None] ^ _XOR) * _TIMES).min(0), out=least)
+    least = least.reshape(BANDS, ROWS)
     return [xxhash.xxh64_intdigest(row.tobytes(), simhash.SEED) - (1 << 63) for row in least]
 
 
@@ -178,7 +187,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, radius: int, least:
     sets = sets.join(some, "node").dropDuplicates(["node"])
     met = sets.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = met.select(F.xxhash64("loose", F.least("own", "with"), F.greatest("own", "with")).alias("unit"), "node", "fp", "own", "members")
-    dealt = rows.repartition("unit").sortWithinPartitions("unit")
+    dealt = dealt_out(rows, "unit").sortWithinPartitions("unit")
     links = dealt.mapInArrow(_checked(radius, least), "u long, v long")
     roots = components(links)
     named = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from millrace.llm.shared import stored
+from millrace.llm.shared import dealt_out, stored
 from millrace.operators.components import components
 
 SEED = 42
@@ -202,7 +202,7 @@ def linked(keyed: DataFrame, radius: int, tree_rows: int = TREE_ROWS, slice_rows
     members = placed.select("fp", "block", "value", F.col("own").alias("tree"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("to")).withColumn("kind", F.when(F.col("to") == 0, 0).otherwise(1))
     askers = placed.where("own > 0").select("fp", "block", "value", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("tree"), F.col("slice").alias("to")).withColumn("kind", F.lit(2))
     rows = members.unionByName(askers).select(F.xxhash64("block", "value", "tree", "to").alias("unit"), "kind", "fp")
-    dealt = rows.repartition("unit").sortWithinPartitions("unit", "kind")
+    dealt = dealt_out(rows, "unit").sortWithinPartitions("unit", "kind")
     return dealt.mapInArrow(_linker(radius), "u long, v long")
 
 

@@ -2,10 +2,12 @@
 
 import hashlib
 
+import numpy as np
 import tiktoken
+import xxhash
 
 import corpus_pipeline
-from millrace.llm import bytebpe
+from millrace.llm import bytebpe, neardup, simhash
 
 
 def test_stages(spark, tmp_path):
@@ -53,3 +55,34 @@ def test_odd_documents(spark, tmp_path):
                 assert kept.columns == start.columns
         assert (kept.count() > 20) == (start is given)
     assert kept.where("n_tokens = 0").count() == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_read_through_once_in_a_stage(spark):
+    """A filter on what was found in a text neither scores it nor counts its words again."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert _plan(corpus_pipeline.language(spark, docs, "")).count("ArrowEvalPython") == 1
+    assert _plan(corpus_pipeline.mixing_stage(spark, docs, "")).count("regexp_extract_all") == 1
+
+
+def test_buckets_stay_in_as_many_tasks_as_a_shuffle_has(spark):
+    """Little data that is much work: adaptive plans would join all of it into one task."""
+    keyed = spark.range(64).selectExpr("id AS fp", "0 AS block", "id div 2 AS value")
+    links = simhash.linked(keyed, 16)
+    assert links.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    assert sorted(tuple(sorted(r)) for r in links.collect()) == [(i, i + 1) for i in range(0, 64, 2)]
+
+
+def test_shingles_equal_joined_words():
+    """Hashes of slices are those of the words joined by a space; bands are least hashes, in pieces too."""
+    for text in (b"", b"  ", b"One", b"a b  c\td", b" a b c d e ", b"w " * 40 + b"x y z w v u", "é ü 日 ß a b".encode(), b" ".join(b"%d" % i for i in range(70_000))):
+        words = text.lower().split()
+        want = sorted({xxhash.xxh64_intdigest(b" ".join(words[i : i + 5]), simhash.SEED) for i in range(max(1, len(words) - 4)) if words})
+        got = neardup.shingles(text)
+        assert got.tolist() == want
+        if want:
+            least = np.array([((got ^ x) * t).min() for x, t in zip(neardup._XOR, neardup._TIMES)], np.uint64).reshape(neardup.BANDS, neardup.ROWS)
+            assert neardup.bands(got) == [xxhash.xxh64_intdigest(r.tobytes(), simhash.SEED) - (1 << 63) for r in least]
